@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, langid, secrets
 
-QUERIES = {"op7_chat_format": chat.query}
+QUERIES = {
+    "op7_chat_format": chat.query,
+    "op8_language_id": langid.query,
+    "op9_secret_scan": secrets.query,
+}
 SQL = {"op7_chat_format": chat.SQL}
