@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, langid, secrets
+from . import chat, langid, packing, secrets, simhash
 
 QUERIES = {
+    "op3_best_fit_packing": packing.query,
+    "op4_simhash": simhash.query,
     "op7_chat_format": chat.query,
     "op8_language_id": langid.query,
     "op9_secret_scan": secrets.query,
