@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, secrets, simhash
+from . import chat, langid, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
     "op7_chat_format": chat.query,
