@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, quality, secrets, simhash
+from . import chat, langid, linededup, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
+    "op5_line_dedup": linededup.query,
     "op7_chat_format": chat.query,
     "op8_language_id": langid.query,
     "op9_secret_scan": secrets.query,
