@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, langid, linededup, packing, quality, secrets, simhash
+from . import chat, decontam, langid, linededup, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_decontamination": decontam.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
     "op5_line_dedup": linededup.query,
