@@ -43,10 +43,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def similar(a: str, b: str) -> float:
-    """What an aligned pair of words scores: MATCH if equal, half of it if they share most letter pairs, else MISMATCH."""
+    """What an aligned pair of words scores: MATCH if equal, half of it if they share an end and most letter pairs, else MISMATCH."""
     if a == b:
         return MATCH
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
+    if (a[0] != b[0] and a[-1] != b[-1]) or abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
         return MISMATCH
     x, y = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
     return MATCH / 2 if 2 * len(x & y) >= 1.2 * (len(x) + len(y)) / 2 else MISMATCH
@@ -63,6 +63,8 @@ def align(item: list[str], passage: list[str], memo: dict | None = None) -> tupl
         for j, b in enumerate(passage):
             if a == b:
                 gain = MATCH
+            elif a[0] != b[0] and a[-1] != b[-1]:
+                gain = MISMATCH
             elif (gain := memo.get((a, b))) is None:
                 gain = memo[a, b] = similar(a, b)
             start = corner[1] if corner[0] > 0 else j
