@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, linededup, packing, quality, secrets, simhash
+from . import chat, decontam, langid, linededup, packing, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_chat_format": chat.query,
     "op8_language_id": langid.query,
     "op9_secret_scan": secrets.query,
+    "op10_suffix_dedup": substrings.query,
 }
 SQL = {"op7_chat_format": chat.SQL}
