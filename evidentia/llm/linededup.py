@@ -91,7 +91,7 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     texts = cut(lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     to_first = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     links = cut(_verified(to_first, texts, similarity))
-    roots = components(links)
+    roots = components(links, native=True)
     placed = members.select("band", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
@@ -100,7 +100,7 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     others = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
     crossing = outside.join(others, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = crossing.join(to_first, ["a", "b"], "left_anti")
-    return components(links.unionByName(_verified(more, texts, similarity)))
+    return components(links.unionByName(_verified(more, texts, similarity)), native=True)
 
 
 def dedup_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import tempfile
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +56,53 @@ def let(value: Column, body) -> Column:
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+FINISH_ROWS = 1_000_000
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all edges of a partition."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pd.DataFrame({"node": np.array(nodes, np.int64), "to": np.array([find(x) for x in nodes], np.int64)})
+
+
+def components(edges: DataFrame, native: bool = False, limit: int = 80) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(node, root)``, for nodes that have an edge.
 
-    Each round points every node to the neighbour (or itself) that is least in a hashed order, then
-    contracts the graph along these pointers. A hashed order contracts chains by a constant share per
-    round in expectation; a star of any size goes in one. All steps are keyed joins and aggregates with
-    map-side combination, and each round is cut in the shared folder. Roots are members of their component.
+    Each round points every node to the neighbour (or itself) that is least in the round's order of ids, then
+    contracts the graph along these pointers. The orders differ by a random mask, so chains contract by a
+    constant share per round in expectation; a star of any size goes in one. All steps are keyed joins and
+    aggregates with map-side combination, and each round is cut in the shared folder. Once FINISH_ROWS edges or
+    fewer are left, and unless only DataFrame functions may be used (``native``), one task finishes by
+    union-find. Roots are members of their component.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pointers: list[DataFrame] = []
     for i in range(limit):
-        if live.isEmpty():
+        left = live.count()
+        if not left:
+            break
+        if not native and left <= FINISH_ROWS:
+            pointers.append(live.coalesce(1).mapInPandas(_finish, "node long, to long"))
             break
-        rank = lambda c: F.xxhash64(F.lit(i), F.col(c))  # noqa: E731,B023
+        mask = F.lit(0 if i == 0 else random.Random(i).getrandbits(63))
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("n"))).alias("m"))
-        own = F.struct(rank("a").alias("r"), F.col("a").alias("n"))
-        to = cut(least.select(F.col("a").alias("node"), F.least(F.col("m"), own)["n"].alias("to")))
+        least = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
+        to = cut(least.select(F.col("a").alias("node"), F.least(F.col("m"), F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")))
         pointers.append(to)
-        left = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        right = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = live.join(left, "a").join(right, "b").where("x <> y")
+        x, y = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = live.join(x, "a").join(y, "b").where("x <> y")
         live = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -6,10 +6,11 @@ candidates are found: of two fingerprints within 4 bits, one half of 16 coordina
 distance 2. On the unit grid over a half, every fingerprint is entered in its own cell and in all cells at
 distance 1, so such a pair shares a cell. Pairs that share a cell are verified exactly on the bits.
 
-Cells of many members never emit all pairs. Documents of one fingerprint are one member. In each cell,
-members are first compared with the cell's least fingerprint; the components of these links come next; then
-only members outside a cell's commonest component are compared with members of other components. Every pair
-in a cell is thus either in one component already or verified, so components are those of all links.
+Cells never emit all pairs. Documents of one fingerprint are one member. Rows come sorted by cell, so a task
+holds one cell at a time; in a large cell, members are first compared with the cell's first, and after that
+only members outside its largest component with the members of other components. Every pair in a cell is thus
+either in one component already or verified, and a cell emits links that span its components, one less than
+its members at most. The components over all cells are those of all links.
 
 Cases: null texts and texts without a word have fingerprint 0 and link like any other; texts are read whole;
 repeated rows (the same doc_id twice) give one row each, with the same result if their texts agree.
@@ -95,28 +96,61 @@ def cells(fp: Column) -> Column:
     return F.concat(of_half(0), of_half(1))
 
 
-def _close(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int, small: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Links within cells, for rows sorted by cell with distinct fingerprints in each: spanning ones in large cells."""
+    near = lambda a, b: np.bitwise_count(a ^ b) <= radius
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.append(starts, len(cell)))
+    size_of = np.repeat(sizes, sizes)
+    left, right = [], []
+    for d in range(1, small):  # cells of few members, all at once
+        pair = (size_of[:-d] <= small) & (cell[d:] == cell[:-d]) if len(cell) > d else np.zeros(0, bool)
+        at = np.flatnonzero(pair)
+        at = at[near(fp[at], fp[at + d])]
+        left.append(fp[at])
+        right.append(fp[at + d])
+    for k in np.flatnonzero(sizes > small):
+        own = fp[starts[k] : starts[k] + sizes[k]]
+        comp = np.arange(len(own))
+
+        def compare(i: int, own=own, comp=comp) -> None:
+            other = np.flatnonzero(comp != comp[i])
+            hit = other[near(own[other], own[i])]
+            for c in np.unique(comp[hit]):
+                j = hit[comp[hit] == c][0]
+                left.append(own[[i]])
+                right.append(own[[j]])
+                comp[comp == c] = comp[i]
+
+        compare(0)
+        main = np.bincount(comp).argmax()
+        for i in np.flatnonzero(comp != main):
+            compare(i)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def link_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for each distinct fp of ``prints``: the components of links within ``radius`` (4 at most)."""
+    """(node, root) for each distinct fp of ``prints`` that has a link within ``radius`` (4 at most)."""
     if radius > RADIUS:
         raise ValueError("the grid holds pairs up to 4 bits apart")
-    distinct = prints.select("fp").distinct()
-    entered = cut(distinct.select("fp", F.explode(cells(F.col("fp"))).alias("cell")))
-    shared = entered.groupBy("cell").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1").select("cell", "first")
-    members = cut(entered.join(shared, "cell"))
-    first_links = members.where(_close("fp", "first", radius) & (F.col("fp") != F.col("first"))).select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    roots = components(first_links)
-    placed = members.select("cell", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("comp"))
-    sizes = placed.groupBy("cell", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("cell", "main")
-    open_cells = placed.join(main, "cell")
-    outside = open_cells.where("comp <> main").select("cell", F.col("fp").alias("a"), F.col("comp").alias("ca"))
-    others = open_cells.select("cell", F.col("fp").alias("b"), F.col("comp").alias("cb"))
-    more = outside.join(others, "cell").where((F.col("ca") != F.col("cb")) & _close("a", "b", radius)).select("a", "b")
-    return components(first_links.unionByName(more))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for b in batches:
+            cell = np.concatenate([cell, b["cell"].to_numpy()])
+            fp = np.concatenate([fp, b["fp"].to_numpy().view(np.uint64)])
+            whole = np.searchsorted(cell, cell[-1]) if len(cell) else 0  # the last cell may go on in the next batch
+            if whole:
+                left, right = cell_links(cell[:whole], fp[:whole], radius)
+                yield pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
+                cell, fp = cell[whole:], fp[whole:]
+        if len(cell):
+            left, right = cell_links(cell, fp, radius)
+            yield pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
+
+    entered = prints.select("fp").distinct().select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    ordered = entered.repartition("cell").sortWithinPartitions("cell", "fp")
+    return components(ordered.select("cell", "fp").mapInPandas(run, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
