@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, linededup, packing, quality, secrets, simhash, substrings
+from . import chat, decontam, langid, linededup, packing, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
     "op5_line_dedup": linededup.query,
+    "op6_toxicity": toxicity.query,
     "op7_chat_format": chat.query,
     "op8_language_id": langid.query,
     "op9_secret_scan": secrets.query,
