@@ -17,7 +17,6 @@ predicted each time.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LETTER_RUN, crc32_fold, fold_of, read
+from .shared import LETTER_RUN, fold_of, read
 
 ORDERS = (4, 3, 2, 1)
 
@@ -127,26 +126,30 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def identify_languages(documents: DataFrame, model: LanguageModel, keep: tuple = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score per document, and the columns in ``keep``. One pass, no shuffle."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    extra = [f for f in documents.schema.fields if f.name in keep]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = id(shared.value)
-        if own not in _scorers:  # a worker that serves many tasks keeps what it has learned of chunks
-            _scorers.clear()
-            _scorers[own] = Scorer(shared.value)
-        scorer = _scorers[own]
-        for b in batches:
-            guesses = [scorer.predict(t) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "held_out": [crc32_fold(d) == 0 for d in b["doc_id"]], "lang_pred": [g[0] for g in guesses], "score": [g[1] for g in guesses]})
-            for f in extra:
-                out[f.name] = b[f.name]
-            yield out
-
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
-    return documents.select("doc_id", "text", *[f.name for f in extra if f.name not in ("doc_id", "text")]).mapInPandas(run, schema)
+def _scorer_of(model: LanguageModel) -> Scorer:
+    """This worker's scorer; one that serves many tasks keeps what it has learned of chunks."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = Scorer(model)
+    return _scorers[id(model)]
+
+
+def language_column(spark: SparkSession, model: LanguageModel):
+    """A function from a text column to a column of (lang_pred, score)."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(texts: pd.Series) -> pd.DataFrame:
+        scorer = _scorer_of(shared.value)
+        return pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return guess
+
+
+def identify_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, held_out, lang_pred and score per document. One pass, no shuffle."""
+    guess = language_column(documents.sparkSession, model)
+    return documents.select("doc_id", guess("text").alias("g")).select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "g.lang_pred", "g.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
