@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, read
 
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
 SEPARATOR = b"\0\0\0\0"  # id 0, as four little-endian bytes
 
 
@@ -39,15 +40,25 @@ class ChunkTokenizer:
         self.tokenizer, self.memory, self.seen = Tokenizer.from_file(path), memory, {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.seen) > self.memory:
-            self.seen.clear()
-        new = list({c for chunks in split for c in chunks if c not in self.seen})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        # The vocabulary is lower case; marks of control tokens are not, so texts that may hold one stay as they are.
+        split = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
+        seen = self.seen
+        if len(seen) > self.memory:
+            seen.clear()
+        new = {c for chunks in split for c in chunks if c not in seen}
+        # A mark after a letter is a token of its own, so that word and mark are looked up apart.
+        parted = [c for c in new if c[-1:] in _MARKS and c[-2:-1].isalpha()]
+        new.difference_update(parted)
+        for c in parted:
+            new.update(x for x in (c[:-1], c[-1:]) if x not in seen)
+        whole = list(new)
+        for at in range(0, len(whole), 20_000):
+            part = whole[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.seen.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, found, strict=True))
-        get = self.seen.__getitem__
+            seen.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, found, strict=True))
+        for c in parted:
+            seen[c] = seen[c[:-1]] + seen[c[-1:]]
+        get = seen.__getitem__
         for chunks in split:
             yield b"".join(map(get, chunks))
 
