@@ -1 +1 @@
-
+"""The evidence engine's functions."""

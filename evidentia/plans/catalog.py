@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from evidentia.plans import on_tables, on_text
+
+QUERIES: dict = {**on_text.QUERIES, **on_tables.QUERIES}
+SQL: dict = {**on_text.SQL, **on_tables.SQL}
