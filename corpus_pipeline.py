@@ -25,8 +25,9 @@ LEAST_LANGUAGE_SCORE = 0.35
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter or without a leading language go."""
     guess = langid.language_column(spark, langid.fit(docs))
-    guessed = docs.withColumn("_guess", guess("text"))
-    return guessed.where((F.col("_guess.lang_pred") != "und") & (F.col("_guess.score") >= LEAST_LANGUAGE_SCORE)).drop("_guess")
+    name = shared.free_name(docs, "guess")
+    guessed = docs.withColumn(name, guess("text"))
+    return guessed.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE_SCORE)).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
     marked = simhash.near_duplicates(docs)
-    return docs.join(marked.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    heads = marked.where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

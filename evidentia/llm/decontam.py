@@ -13,7 +13,7 @@ are at most ``BROADCAST_SEEDS`` of them; a larger benchmark is split into parts
 
 Cases: null and empty texts, on either side, match nothing; items of fewer than ``SEED`` words are one seed;
 repeated items with one id count once with the union of their seeds' hits; repeated documents are matched
-each; an empty benchmark or corpus gives no rows.
+each, as are those with a null doc_id; an empty benchmark or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, read, with_id, with_null_id
 
 SEED = 3
 CHANCE = 0.05
@@ -229,7 +229,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: fl
                 rows = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in matcher.matches(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word", "seeds_hit"])
 
-        found = documents.select("doc_id", "text").mapInPandas(run, _SCHEMA)
+        found = with_null_id(with_id(documents).mapInPandas(run, _SCHEMA))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -237,7 +237,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: fl
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that hold no benchmark item."""
     hit = cut(find_contamination(documents, benchmark, threshold).select("doc_id").distinct())
-    return documents.join(hit, "doc_id", "left_anti")
+    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

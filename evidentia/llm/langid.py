@@ -11,7 +11,7 @@ bounded. Predictions see the text alone.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language first in the
 alphabet; texts of any length are read whole; with nothing to learn from, all is ``und``. A repeated row is
-predicted each time.
+predicted each time; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LETTER_RUN, fold_of, read
+from .shared import LETTER_RUN, fold_of, held_out, read
 
 ORDERS = (4, 3, 2, 1)
 
@@ -149,7 +149,7 @@ def language_column(spark: SparkSession, model: LanguageModel):
 def identify_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred and score per document. One pass, no shuffle."""
     guess = language_column(documents.sparkSession, model)
-    return documents.select("doc_id", guess("text").alias("g")).select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "g.lang_pred", "g.score")
+    return documents.select("doc_id", guess("text").alias("g")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "g.lang_pred", "g.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, components, cut, let, read
+from .shared import WORD_CLASS, components, cut, free_name, let, read
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -113,15 +113,16 @@ def dedup_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     by_line = placed.join(best, "root").select("h", "first")
     joined = own.join(by_line, "h")
     return joined.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
-                         ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
+                         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
 
 
 def without_duplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, their texts without the lines that are not kept. Null texts stay null."""
-    gone = dedup_lines(documents, similarity).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return documents.join(gone, "doc_id", "left").withColumn("text", text).drop("_gone")
+    name, key = free_name(documents, "gone"), free_name(documents, "gone_id")
+    gone = dedup_lines(documents, similarity).where("NOT kept").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(name))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(name, i))
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn("text", text).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

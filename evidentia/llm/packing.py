@@ -8,7 +8,7 @@ what is there; pieces left over are packed best-fit, whole patterns at a time. P
 their rank among pieces of their length, which is counted per salt, so no length gathers in one task.
 
 Cases: a null or empty text is one piece with the separator alone; a text of any length is tokenized whole;
-repeated rows are packed each; an empty table gives no rows.
+repeated rows are packed each, as are rows with a null doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, read
+from .shared import cut, read, with_id, with_null_id
 
 _MARKS = (b".", b",", b";", b":", b"!", b"?")
 SEPARATOR = b"\0\0\0\0"  # id 0, as four little-endian bytes
@@ -83,7 +83,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048) -> D
                         rows.append((doc_id, k, a // 4, len(own) // 4, zlib.crc32(own)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_id(documents).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def enumerate_patterns(histogram: np.ndarray, stride: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def pack(made: DataFrame, capacity: int = 2048, rows_per_salt: int = 50_000) ->
             at = np.searchsorted(keys, (b["length"].to_numpy() << 44) + b["rank"].to_numpy(), side="right") - 1
             yield b.assign(sequence_id=p.sequence[at] + b["rank"].to_numpy() - p.rank[at], offset=p.offset[at])[names]
 
-    return ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return with_null_id(ranked.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

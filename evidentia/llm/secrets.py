@@ -7,7 +7,8 @@ or base64). Adjoining hot windows are merged to one span of kind ``entropy``. Sp
 pattern covers, or that a fixed pattern found already, are suppressed.
 
 Cases: null and empty texts have no spans; texts of any length are scanned whole; all offsets are code
-points, ends exclusive. Long runs cost time in proportion to their length. Repeated rows are scanned each.
+points, ends exclusive. Long runs cost time in proportion to their length. Repeated rows are scanned each;
+a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read
+from .shared import read, with_id, with_null_id
 
 # The patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -144,7 +145,7 @@ def scan_secrets(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> Dat
                 rows.append((doc_id, n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), _joined(spans), n[3]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return with_null_id(with_id(documents).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"))
 
 
 def redact(text: str | None, scanner: Scanner | None = None, mark: str = "[SECRET]") -> str | None:

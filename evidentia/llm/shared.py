@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Stands for a null doc_id where rows go through Python, which has no null among integers; sorts first.
+NO_ID = -(2**63)
+
+
+def with_id(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) with NO_ID for null ids."""
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def with_null_id(df: DataFrame) -> DataFrame:
+    """Null ids again."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def crc32_fold(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 5
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(fold_of(doc_id) == 0, F.lit(False))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
 
 
 def let(value: Column, body) -> Column:

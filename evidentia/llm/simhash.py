@@ -13,7 +13,8 @@ either in one component already or verified, and a cell emits links that span it
 its members at most. The components over all cells are those of all links.
 
 Cases: null texts and texts without a word have fingerprint 0 and link like any other; texts are read whole;
-repeated rows (the same doc_id twice) give one row each, with the same result if their texts agree.
+a null doc_id
+counts as the smallest; repeated rows (the same doc_id twice) give one row each, with the same result if their texts agree.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, read
+from .shared import NO_ID, components, cut, read, with_id, with_null_id
 
 RADIUS = 4
 SHINGLE = 4
@@ -62,7 +63,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return with_id(documents).mapInPandas(run, "doc_id long, fp long")
 
 
 def _low_bits(x: Column) -> Column:
@@ -161,7 +162,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = placed.join(heads, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = F.nullif("component_id", F.lit(NO_ID)).alias("component_id")
+    return with_null_id(prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import suffixes as sx
-from .shared import read
+from .shared import NO_ID, read, with_null_id
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 48 << 20
-NO_ID = -(2**63)
 
 
 class Block:
@@ -188,7 +187,7 @@ def dedup_substrings(documents: DataFrame, with_kept: bool = True) -> DataFrame:
     span_answers = runs.groupBy("bucket").applyInPandas(answer_suffixes, answer_schema)
     answers = gram_answers.unionByName(span_answers)
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return with_null_id(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

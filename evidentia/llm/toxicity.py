@@ -9,7 +9,8 @@ length by which the toxic compressor beats the ordinary one. Gains over two cali
 and the largest gain are weighed by a logistic function fitted on the sample's other half.
 
 Cases: null and empty texts have no gain and score as such; texts of any length are read whole; without labels
-of both kinds every score is the labels' mean (0 without any). Repeated rows score alike. Labels, lang, source
+of both kinds every score is the labels' mean (0 without any). Repeated rows score alike; a null doc_id is
+not held out. Labels, lang, source
 and doc_id are no inputs of a score.
 """
 
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LETTER_RUN, crc32_fold, fold_of, read
+from .shared import LETTER_RUN, fold_of, held_out, read, with_id, with_null_id
 
 WINDOW = 8
 LEVEL = 3
@@ -185,9 +186,10 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         scorer = Scorer(shared.value)
         for b in batches:
             scores = [scorer.score(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": [crc32_fold(d) == 0 for d in b["doc_id"]], "score": scores, "predicted": [int(s >= 0.5) for s in scores]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    scored = with_null_id(with_id(documents).mapInPandas(run, "doc_id long, score double, predicted int"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
