@@ -7,7 +7,7 @@ spoils only the bands that hold it. Long lines take their signature from the shi
 few common letters, a sample by content that is the same in like lines; lines between both sizes, and those
 with few such shingles, have signatures of both kinds.
 
-Candidates are verified by exact Jaccard similarity over all shingles. A band of many lines never emits all its
+Candidates are verified by exact Jaccard similarity over all shingles, after their sizes and signatures. A band of many lines never emits all its
 pairs: each line is verified against the band's least line, components are taken, and only lines outside the
 band's commonest component are compared with lines of other components. Every component keeps its first line,
 by doc_id and line number.
@@ -29,13 +29,15 @@ SIMILARITY = 0.8
 KEPT_HASHES = 18
 ROWS = 4
 #: From LONG[1] characters a line has a sampled signature alone, up to LONG[0] a full one alone.
-LONG = (320, 480)
-FEW = 40
+LONG = (128, 176)
+FEW = 24
+#: A pair whose signatures' common share is less than this is not verified: at similarity 0.8 one in 10,000 is.
+LEAST_SHARE = 0.4
 #: Up to so many lines are sent to all executors to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _ALL = f"(?s)(?=(.{{{SHINGLE}}}))"
-_SAMPLED = f"(?s)(?=([cks].{{{SHINGLE - 1}}}))"
+_SAMPLED = f"(?s)(?=([tns].{{{SHINGLE - 1}}}))"
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -71,11 +73,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(sets(a), lambda x: let(sets(b), lambda y: ratio(x, y)))
 
 
+def sketch(line: Column) -> Column:
+    """(n, least) of a line: its number of distinct shingles and the least hashes of all of them."""
+    shingles = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_shingles(line, _ALL))
+    made = lambda h: F.struct(F.size(h).alias("n"), F.slice(F.sort_array(h), 1, KEPT_HASHES).alias("least"))
+    return let(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))), made)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    near = F.least(F.length("line_a"), F.length("line_b")) >= F.lit(similarity - 0.2) * F.greatest(F.length("line_a"), F.length("line_b"))
-    return pairs.join(left, "a").join(right, "b").where(near).where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
+    """The pairs of at least ``similarity``: sizes are compared first, then signatures, and all shingles last."""
+    left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("s").alias("s_a"))
+    right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("s").alias("s_b"))
+    sizes = F.least("s_a.n", "s_b.n") >= F.lit(similarity) * F.greatest("s_a.n", "s_b.n")
+    both = F.slice(F.sort_array(F.array_union("s_a.least", "s_b.least")), 1, KEPT_HASHES)
+    share = let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect("s_a.least", "s_b.least"))) / F.size(u))
+    near = pairs.join(left, "a").join(right, "b").where(sizes & (share >= min(LEAST_SHARE, similarity / 2)))
+    return near.where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
 
 
 def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -88,7 +101,7 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     members = cut(entered.withColumn("first", F.min("h").over(in_band)).withColumn("last", F.max("h").over(in_band)).where("first <> last").select("band", "h", "first"))
     needed = cut(members.select("h").distinct())
     few = needed.count() <= BROADCAST_ROWS
-    texts = cut(lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    texts = cut(lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("s", sketch(F.col("line"))))
     to_first = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     links = cut(_verified(to_first, texts, similarity))
     roots = components(links, native=True)
