@@ -156,7 +156,7 @@ def without_control(c: Column) -> Column:
 
 
 def without_fences(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    return F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""), F.lit(" \n"))
 
 
 def truncated(c: Column, most: int) -> Column:
