@@ -64,7 +64,7 @@ def hot_windows(run: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
     total, digits, others, lower, upper, nonhex = 0.0, 0, 0, 0, 0, 0
     start = end = None
     for i, c in enumerate(run):
-        for ch, d in ((c, 1), (run[i - w], -1)) if i >= w else ((c, 1),):
+        for ch, d in ((run[i - w], -1), (c, 1)) if i >= w else ((c, 1),):
             before = counts.get(ch, 0)
             counts[ch] = before + d
             total += cost[before + d] - cost[before]
