@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .shared import LETTER_RUN, fold_of, held_out, read, with_id, with_null_id
 
-WINDOW = 8
+WINDOW = 6
 LEVEL = 3
-ORDINARY_BYTES, TOXIC_BYTES = 24_576, 4_096
+ORDINARY_BYTES, TOXIC_BYTES = 24_576, 1_024
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     order = np.random.default_rng(5).permutation(len(own))
     bad = _dictionary([b"".join(own[k] for k in order[i : i + 8]) for i in range(0, len(own), 8)], TOXIC_BYTES, 16)
     spell = b"".join(f" {w} ".encode() for w in sorted(words, key=words.get))
-    bad = (bad + spell)[-3 * TOXIC_BYTES :]
+    bad = (bad + spell)[-12 * TOXIC_BYTES :]
     gains = Gains(plain, bad)
     g = [gains.of(t) for t in t_cal] + [gains.of(t) for t in o_cal]
     y = np.array([1.0] * len(t_cal) + [0.0] * len(o_cal))
