@@ -140,3 +140,16 @@ def without_duplicate_lines(documents: DataFrame, similarity: float = SIMILARITY
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs of lines that share shingles, and the closure of those that are like enough.
+SQL = """WITH RECURSIVE l AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INT) AS line_no, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+ n AS (SELECT doc_id, line_no, trim(lower(raw), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]')),
+ u AS (SELECT line, row_number() OVER (ORDER BY line) AS id, min((doc_id, line_no)) AS first FROM n GROUP BY line),
+ g AS (SELECT DISTINCT id, substr(line, i, 7) AS sh FROM (SELECT id, line, unnest(range(1, greatest(2, length(line) - 5))) AS i FROM u)),
+ c AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+ p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2 HAVING count(*) > 5),
+ e AS (SELECT x, y FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE k >= 0.8 * (a.n + b.n - k) UNION ALL SELECT y, x FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE k >= 0.8 * (a.n + b.n - k)),
+ r(id, root) AS (SELECT id, id FROM u UNION SELECT e.y, r.root FROM r JOIN e ON r.id = e.x),
+ q AS (SELECT id, min(root) AS root FROM r GROUP BY id), f AS (SELECT root, min(first) AS first FROM q JOIN u USING (id) GROUP BY root)
+ SELECT n.doc_id, n.line_no, f.first[1] AS first_doc_id, f.first[2] AS first_line_no, n.doc_id = f.first[1] AND n.line_no = f.first[2] AS kept FROM n JOIN u USING (line) JOIN q USING (id) JOIN f USING (root)"""

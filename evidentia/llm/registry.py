@@ -16,4 +16,4 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_suffix_dedup": substrings.query,
 }
-SQL = {"op7_chat_format": chat.SQL}
+SQL = {"op5_line_dedup": linededup.SQL, "op7_chat_format": chat.SQL}
