@@ -3,9 +3,9 @@ r"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
 Lines are compared in lower case without outer blanks, as sets of character shingles of ``SHINGLE`` code points
 (a shorter line is one shingle). A line's signature is its least shingle hashes in order. Each run of ``ROWS``
 neighbours in it is a band: lines that share a band are candidates, whatever the bands' places, so an edit
-spoils only the bands that hold it. Long lines take their signature from the shingles that start with one of a
-few common letters, a sample by content that is the same in like lines; lines between both sizes, and those
-with few such shingles, have signatures of both kinds.
+spoils only the bands that hold it. Longer lines take their signature from the shingles that start with one of a
+few letters, a sample by content that is the same in like lines; lines between two sizes, and those with few
+such shingles, have signatures of both kinds.
 
 Candidates are verified by exact Jaccard similarity over all shingles, after their sizes and signatures. A band of many lines never emits all its
 pairs: each line is verified against the band's least line, components are taken, and only lines outside the
@@ -28,8 +28,10 @@ SHINGLE = 7
 SIMILARITY = 0.8
 KEPT_HASHES = 18
 ROWS = 4
-#: From LONG[1] characters a line has a sampled signature alone, up to LONG[0] a full one alone.
-LONG = (128, 176)
+#: Up to MIDDLE[0] characters a line has the signature of all its shingles alone, from MIDDLE[1] on a sampled one alone
+#: (of about a quarter of them); LONG is the same for the step to the sparser sample (about a twelfth).
+MIDDLE, LONG = (128, 176), (512, 704)
+#: With fewer sampled shingles a line has the next fuller signature too.
 FEW = 24
 #: A pair whose signatures' common share is less than this is not verified: at similarity 0.8 one in 10,000 is.
 LEAST_SHARE = 0.4
@@ -38,6 +40,7 @@ BROADCAST_ROWS = 1_000_000
 
 _ALL = f"(?s)(?=(.{{{SHINGLE}}}))"
 _SAMPLED = f"(?s)(?=([tns].{{{SHINGLE - 1}}}))"
+_SPARSE = f"(?s)(?=([cdk].{{{SHINGLE - 1}}}))"
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -62,13 +65,16 @@ def bands(line: Column) -> Column:
     none = F.array().cast("array<bigint>")
     n = F.length(line)
     whole = lambda: F.when(n < SHINGLE, F.array(F.xxhash64(line))).otherwise(_bands(_shingles(line, _ALL), 0))
-    both = lambda s: F.concat(F.when(F.size(s) >= ROWS * 4, _bands(s, 1)).otherwise(none), F.when((n < LONG[1]) | (F.size(s) < FEW), whole()).otherwise(none))
-    return F.when(n <= LONG[0], whole()).otherwise(let(_shingles(line, _SAMPLED), both))
+    own = lambda s, kind: F.when(F.size(s) >= ROWS * 4, _bands(s, kind)).otherwise(none)
+    middle = lambda s: F.concat(own(s, 1), F.when((n < MIDDLE[1]) | (F.size(s) < FEW), whole()).otherwise(none))
+    sampled = lambda: let(_shingles(line, _SAMPLED), middle)
+    long = lambda s: F.concat(own(s, 2), F.when((n < LONG[1]) | (F.size(s) < FEW), sampled()).otherwise(none))
+    return F.when(n <= MIDDLE[0], whole()).when(n <= LONG[0], sampled()).otherwise(let(_shingles(line, _SPARSE), long))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Exact similarity of two lines' shingle sets."""
-    sets = lambda line: F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(_shingles(line, _ALL)))
+    """Similarity of two lines' whole shingle sets; shingles are told apart by 64-bit hashes."""
+    sets = lambda line: F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_shingles(line, _ALL)), lambda x: F.xxhash64(x)))
     ratio = lambda x, y: let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
     return let(sets(a), lambda x: let(sets(b), lambda y: ratio(x, y)))
 
