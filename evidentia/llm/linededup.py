@@ -1,11 +1,10 @@
 r"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 Lines are compared in lower case without outer blanks, as sets of character shingles of ``SHINGLE`` code points
-(a shorter line is one shingle). A line's signature is its least shingle hashes in order. Each run of ``ROWS``
-neighbours in it is a band: lines that share a band are candidates, whatever the bands' places, so an edit
-spoils only the bands that hold it. Longer lines take their signature from the shingles that start with one of a
-few letters, a sample by content that is the same in like lines; lines between two sizes, and those with few
-such shingles, have signatures of both kinds.
+(a shorter line is one shingle). A line's signatures are its least and its greatest shingle hashes in order. Each run
+of ``ROWS`` neighbours in one is a band: lines that share a band are candidates, whatever the bands' places, so an
+edit spoils only the bands that hold it. Lines of every length have signatures of these kinds, made from all their
+distinct shingles, so that neither a line's length nor repetitions within it tell like lines apart.
 
 Candidates are verified by exact Jaccard similarity over all shingles, after their sizes and signatures. A band of many lines never emits all its
 pairs: each line is verified against the band's least line, components are taken, and only lines outside the
@@ -28,19 +27,12 @@ SHINGLE = 7
 SIMILARITY = 0.8
 KEPT_HASHES = 18
 ROWS = 4
-#: Up to MIDDLE[0] characters a line has the signature of all its shingles alone, from MIDDLE[1] on a sampled one alone
-#: (of about a quarter of them); LONG is the same for the step to the sparser sample (about a twelfth).
-MIDDLE, LONG = (128, 176), (512, 704)
-#: With fewer sampled shingles a line has the next fuller signature too.
-FEW = 24
 #: A pair whose signatures' common share is less than this is not verified: at similarity 0.8 one in 10,000 is.
 LEAST_SHARE = 0.4
 #: Up to so many lines are sent to all executors to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _ALL = f"(?s)(?=(.{{{SHINGLE}}}))"
-_SAMPLED = f"(?s)(?=([tns].{{{SHINGLE - 1}}}))"
-_SPARSE = f"(?s)(?=([cdk].{{{SHINGLE - 1}}}))"
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -49,41 +41,33 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return own.where(F.col("raw").rlike(WORD_CLASS)).select("doc_id", "line_no", F.trim(F.lower("raw"), F.lit(" \t\r\v\f")).alias("line"))
 
 
-def _shingles(line: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _shingles(line: Column) -> Column:
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
 
 
-def _bands(shingles: Column, kind: int) -> Column:
-    """Hashes of the runs of ROWS neighbours among the least shingle hashes."""
-    least = lambda h: F.slice(F.sort_array(F.array_distinct(h)), 1, KEPT_HASHES)
-    runs = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(s) - ROWS)), lambda i: F.xxhash64(F.lit(kind), *[F.coalesce(F.get(s, i + k), F.lit(0)) for k in range(ROWS)]))
-    return let(F.transform(shingles, lambda x: F.xxhash64(x)), lambda h: let(least(h), runs))
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct shingles."""
+    return F.array_distinct(F.transform(_shingles(line), lambda x: F.xxhash64(x)))
 
 
 def bands(line: Column) -> Column:
-    """The bands of a line, as longs."""
-    none = F.array().cast("array<bigint>")
-    n = F.length(line)
-    whole = lambda: F.when(n < SHINGLE, F.array(F.xxhash64(line))).otherwise(_bands(_shingles(line, _ALL), 0))
-    own = lambda s, kind: F.when(F.size(s) >= ROWS * 4, _bands(s, kind)).otherwise(none)
-    middle = lambda s: F.concat(own(s, 1), F.when((n < MIDDLE[1]) | (F.size(s) < FEW), whole()).otherwise(none))
-    sampled = lambda: let(_shingles(line, _SAMPLED), middle)
-    long = lambda s: F.concat(own(s, 2), F.when((n < LONG[1]) | (F.size(s) < FEW), sampled()).otherwise(none))
-    return F.when(n <= MIDDLE[0], whole()).when(n <= LONG[0], sampled()).otherwise(let(_shingles(line, _SPARSE), long))
+    """The bands of a line, as longs: hashes of the runs of ROWS neighbours among its least and its greatest shingle hashes."""
+    last = lambda n: F.greatest(F.lit(0), n - ROWS)
+    starts = lambda n: F.array_union(F.sequence(F.lit(0), last(F.least(n, F.lit(KEPT_HASHES)))), F.sequence(F.greatest(F.lit(0), n - KEPT_HASHES), last(n)))
+    runs = lambda s: F.transform(starts(F.size(s)), lambda i: F.xxhash64(*[F.coalesce(F.get(s, i + k), F.lit(0)) for k in range(ROWS)]))
+    return let(F.sort_array(_hashes(line)), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two lines' whole shingle sets; shingles are told apart by 64-bit hashes."""
-    sets = lambda line: F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_shingles(line, _ALL)), lambda x: F.xxhash64(x)))
     ratio = lambda x, y: let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
-    return let(sets(a), lambda x: let(sets(b), lambda y: ratio(x, y)))
+    return let(_hashes(a), lambda x: let(_hashes(b), lambda y: ratio(x, y)))
 
 
 def sketch(line: Column) -> Column:
     """(n, least) of a line: its number of distinct shingles and the least hashes of all of them."""
-    shingles = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_shingles(line, _ALL))
     made = lambda h: F.struct(F.size(h).alias("n"), F.slice(F.sort_array(h), 1, KEPT_HASHES).alias("least"))
-    return let(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))), made)
+    return let(_hashes(line), made)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

@@ -118,6 +118,13 @@ def test_lines(docs, rows):
     assert texts == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in got or got[k, i][1]) for k, t in rows}
 
 
+def test_lines_of_one_repeated_unit_are_linked(spark):
+    units = ["same words here ", "spam ", "the cat sat on the mat, "]
+    rows = [(k, "\n".join(u * n for n in (5, 7, 8, 12, 20, 30, 60))) for k, u in enumerate(units)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc_id"], r["first_line_no"]) for r in got} == {(k, k, 0) for k in range(3)} and len(got) == 21
+
+
 def brute_substrings(rows):
     data = [(k, (t or "").encode()) for k, t in rows]
     first = {}
