@@ -6,6 +6,10 @@ of ``ROWS`` neighbours in one is a band: lines that share a band are candidates,
 edit spoils only the bands that hold it. Lines of every length have signatures of these kinds, made from all their
 distinct shingles, so that neither a line's length nor repetitions within it tell like lines apart.
 
+Of lines with fewer than ``FEW[1]`` distinct shingles no pair of at least ``SIMILARITY`` is missed: at most
+m = (1 - SIMILARITY) n of a line's n shingles are not in a like line, so the ROWS least common hashes are among the
+ROWS + m least of either, and each choice of ROWS of these is a band. Lines from ``FEW[0]`` on have the signatures' bands.
+
 Candidates are verified by exact Jaccard similarity over all shingles, after their sizes and signatures. A band of many lines never emits all its
 pairs: each line is verified against the band's least line, components are taken, and only lines outside the
 band's commonest component are compared with lines of other components. Every component keeps its first line,
@@ -18,6 +22,9 @@ those at the component's first place all stay. Lines of any length are read whol
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +34,16 @@ SHINGLE = 7
 SIMILARITY = 0.8
 KEPT_HASHES = 18
 ROWS = 4
+#: Lines with less than FEW[1] distinct shingles have exact bands, those with FEW[0] or more the signatures'. Like sets
+#: always share a kind: FEW[0] <= SIMILARITY * FEW[1].
+FEW = (16, 20)
 #: A pair whose signatures' common share is less than this is not verified: at similarity 0.8 one in 10,000 is.
 LEAST_SHARE = 0.4
 #: Up to so many lines are sent to all executors to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Choices of ROWS places, those that need the fewest least hashes first.
+_CHOICES = sorted(combinations(range(ROWS + int((1 - SIMILARITY) * FEW[1] + 1e-9)), ROWS), key=lambda c: c[-1])
 _ALL = f"(?s)(?=(.{{{SHINGLE}}}))"
 
 
@@ -50,12 +62,25 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(_shingles(line), lambda x: F.xxhash64(x)))
 
 
+def _band(s: Column, places: list) -> Column:
+    return F.xxhash64(*[F.coalesce(F.get(s, p), F.lit(0)) for p in places])
+
+
+def _exact_bands(s: Column) -> Column:
+    """Every choice of ROWS hashes of a short line's prefix: of its ROWS least hashes and as many more as a like line may lack."""
+    spare = F.floor(F.size(s) * (1 - SIMILARITY) + 1e-9)
+    sizes = F.array(*[F.lit(comb(ROWS + m, ROWS)) for m in range(_CHOICES[-1][-1] - ROWS + 2)])
+    choices = F.array(*[F.array(*map(F.lit, c)) for c in _CHOICES])
+    return F.transform(F.slice(choices, 1, F.get(sizes, spare.cast("int"))), lambda c: _band(s, [c[k] for k in range(ROWS)]))
+
+
 def bands(line: Column) -> Column:
-    """The bands of a line, as longs: hashes of the runs of ROWS neighbours among its least and its greatest shingle hashes."""
-    last = lambda n: F.greatest(F.lit(0), n - ROWS)
-    starts = lambda n: F.array_union(F.sequence(F.lit(0), last(F.least(n, F.lit(KEPT_HASHES)))), F.sequence(F.greatest(F.lit(0), n - KEPT_HASHES), last(n)))
-    runs = lambda s: F.transform(starts(F.size(s)), lambda i: F.xxhash64(*[F.coalesce(F.get(s, i + k), F.lit(0)) for k in range(ROWS)]))
-    return let(F.sort_array(_hashes(line)), runs)
+    """The bands of a line, as longs: choices among the least hashes of few shingles, runs of ROWS neighbours in the signatures of more."""
+    none = F.array().cast("array<bigint>")
+    starts = lambda n: F.array_union(F.sequence(F.lit(0), F.least(n, F.lit(KEPT_HASHES)) - ROWS), F.sequence(F.greatest(F.lit(0), n - KEPT_HASHES), n - ROWS))
+    runs = lambda s: F.transform(starts(F.size(s)), lambda i: _band(s, [i + k for k in range(ROWS)]))
+    both = lambda s: F.concat(F.when(F.size(s) < FEW[1], _exact_bands(s)).otherwise(none), F.when(F.size(s) >= FEW[0], runs(s)).otherwise(none))
+    return let(F.sort_array(_hashes(line)), both)
 
 
 def jaccard(a: Column, b: Column) -> Column:

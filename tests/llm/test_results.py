@@ -125,6 +125,19 @@ def test_lines_of_one_repeated_unit_are_linked(spark):
     assert {(r["doc_id"], r["first_doc_id"], r["first_line_no"]) for r in got} == {(k, k, 0) for k in range(3)} and len(got) == 21
 
 
+def test_no_like_short_lines_are_missed(spark):
+    r = random.Random(12)
+    lines = {"hello world", "hello worl", "-" * 20, "-" * 45, "ab", "abc"}
+    for _ in range(400):
+        line = "".join(r.choices("abcdefgh ", k=r.randint(7, 21))).strip()
+        lines |= {line, line[:-1].strip(), line[1:].strip(), line + r.choice("abc"), r.choice("abc") + line, line + "".join(r.choices("abc", k=4))}
+    own = sorted(lines - {""})
+    sets = [{x[i : i + 7] for i in range(len(x) - 6)} or {x} for x in own]
+    roots = joined_by(len(own), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["first_doc_id"] for r in got} == dict(enumerate(roots))
+
+
 def brute_substrings(rows):
     data = [(k, (t or "").encode()) for k, t in rows]
     first = {}
