@@ -12,8 +12,9 @@ Word counts and matching read whole texts of all documents. The seeds are sent t
 are at most ``BROADCAST_SEEDS`` of them; a larger benchmark is split into parts that are scanned in turn.
 
 Cases: null and empty texts, on either side, match nothing; items of fewer than ``SEED`` words are one seed;
-repeated items with one id count once with the union of their seeds' hits; repeated documents are matched
-each, as are those with a null doc_id; an empty benchmark or corpus gives no rows.
+the distinct texts of one item id are aligned each by itself, and the id counts once, with the best of their scores
+and the seeds hit of all; repeated documents are matched each, as are those with a null doc_id; an empty benchmark
+or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -86,12 +87,13 @@ def align(item: list[str], passage: list[str], memo: dict | None = None) -> tupl
 
 @dataclass
 class Seeds:
-    """``vocabulary``: word to number from 1; ``seeds``: numbers of SEED words to (item, place) pairs; ``items``: id to words."""
+    """``vocabulary``: word to number from 1; ``seeds``: numbers of SEED words to (item, place) pairs; ``items``: key to words; ``ids``: key to item id."""
 
     vocabulary: dict[str, int]
     seeds: dict[tuple, list[tuple[int, int]]]
     short: dict[tuple, list[int]]
     items: dict[int, list[str]]
+    ids: dict[int, int]
 
 
 def _word_counts(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -113,10 +115,11 @@ def _word_counts(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[str,
     return found, found.pop("", 0)
 
 
-def make_seeds(items: dict[int, list[str]], counts: dict[str, int], total: int, seed: int = SEED, chance: float = CHANCE) -> Seeds:
+def make_seeds(items: dict[int, list[str]], counts: dict[str, int], total: int, seed: int = SEED, chance: float = CHANCE, ids: dict[int, int] | None = None) -> Seeds:
+    """``ids`` tells the item id of each key of ``items`` where these are not ids themselves."""
     vocabulary = {w: k for k, w in enumerate(sorted({w for ws in items.values() for w in ws}), 1)}
     share = {w: (counts.get(w, 0) + 1) / (total + 1) for w in vocabulary}
-    out = Seeds(vocabulary, {}, {}, items)
+    out = Seeds(vocabulary, {}, {}, items, ids or {k: k for k in items})
     for item, ws in items.items():
         if len(ws) < seed:
             if ws:
@@ -157,7 +160,7 @@ class Matcher:
         return known
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """(item, score, first word, last word exclusive, seeds hit) per matching item: its best passage."""
+        """(item id, score, first word, last word exclusive, seeds hit) per matching item id: the best passage of its texts."""
         words = words_of(text)
         get, n = self.s.vocabulary.get, self.seed
         ids = [get(w, 0) for w in words]
@@ -202,7 +205,18 @@ class Matcher:
                         break
             if best[0] >= self.threshold:
                 out.append((item, *best, len(places)))
-        return sorted(out)
+        return self.by_id(out, hits)
+
+    def by_id(self, found: list[tuple], hits: dict[int, list]) -> list[tuple[int, float, int, int, int]]:
+        """The best of the matches of each item id's texts, with the seeds hit of all of these."""
+        ids, best, n = self.s.ids, {}, Counter()
+        for item, score, a, b, own in found:
+            if item not in hits:
+                n[ids[item]] += own
+            best[ids[item]] = max(best.get(ids[item], (0.0, 0, 0)), (score, -a, -b))
+        for item, places in hits.items():
+            n[ids[item]] += len(places)
+        return sorted((item, score, -a, -b, n[item]) for item, (score, a, b) in best.items())
 
 
 _SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long, seeds_hit long"
@@ -217,11 +231,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: fl
     out = None
     for part in range(parts):
         own = sized if parts == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        items: dict[int, list[str]] = {}
-        for r in own.orderBy("item_id", "text").collect():  # at most about BROADCAST_SEEDS words
-            items.setdefault(r["item_id"], []).extend(words_of(r["text"]))
+        texts = sorted({(r["item_id"], tuple(words_of(r["text"]))) for r in own.collect()})  # at most about BROADCAST_SEEDS words
+        items = {k: list(ws) for k, (_, ws) in enumerate(texts)}
+        ids = {k: item for k, (item, _) in enumerate(texts)}
         counts, total = _word_counts(documents, {w for ws in items.values() for w in ws})
-        seeds = spark.sparkContext.broadcast(make_seeds(items, counts, total))
+        seeds = spark.sparkContext.broadcast(make_seeds(items, counts, total, ids=ids))
 
         def run(batches: Iterator[pd.DataFrame], seeds=seeds) -> Iterator[pd.DataFrame]:
             matcher = Matcher(seeds.value, threshold=threshold)

@@ -323,6 +323,22 @@ def test_decontamination():
         assert not m.matches(" ".join(background[k][:50] + items[k][:5] + background[k][50:])) or len(items[k]) < 16
 
 
+def test_texts_of_one_item_id_are_matched_each(spark):
+    r = random.Random(13)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    one, two, three, other, short = text(30), text(40), text(25), text(30), "zz yy"
+    items = [(1, one), (1, one), (2, two), (2, two), (2, two.upper()), (3, three), (3, other), (3, short)]
+    docs = [(k, f"{text(50)} {x} {text(50)}") for k, x in enumerate([one, two, three, other, short, f"{three} {text(20)} {other}"])] + [(9, text(200))]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.find_contamination(df, benchmark).collect()
+    got = sorted((x["doc_id"], x["item_id"], x["score"], x["first_word"], x["last_word"]) for x in rows)
+    assert got == [(0, 1, 1.0, 50, 80), (1, 2, 1.0, 50, 90), (2, 3, 1.0, 50, 75), (3, 3, 1.0, 50, 80), (4, 3, 1.0, 50, 52), (5, 3, 1.0, 50, 75)]
+    hits = {x["doc_id"]: x["seeds_hit"] for x in rows}
+    assert hits[5] == hits[2] + hits[3] and hits[4] == 1
+    assert [x["doc_id"] for x in decontam.decontaminate(df, benchmark).collect()] == [9]
+
+
 def test_align_is_smith_waterman():
     r = random.Random(9)
     for _ in range(50):
