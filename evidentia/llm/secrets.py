@@ -3,8 +3,8 @@
 Candidates are runs of ``[A-Za-z0-9+/_=-]`` of at least ``min_run`` characters. A window of ``window``
 characters slides over each; its entropy is kept by incremental counts (one character in, one out) and
 compared with the threshold of the window's character class (hexadecimal, letters and digits of one case,
-or base64). Adjoining hot windows are merged to one span of kind ``entropy``. Spans that an allow-list
-pattern covers, or that a fixed pattern found already, are suppressed.
+or base64). Adjoining hot windows are merged to one span of kind ``entropy``. Runs that an
+allow-list pattern covers are suppressed; of a span that fixed patterns found in part the rest is kept.
 
 Cases: null and empty texts have no spans; texts of any length are scanned whole; all offsets are code
 points, ends exclusive. Long runs cost time in proportion to their length. Repeated rows are scanned each;
@@ -95,6 +95,18 @@ def hot_windows(run: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def uncovered(start: int, end: int, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the (start, kind, end) of ``known``, in order, leave of a span."""
+    for s, _, e in known:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 class Scanner:
     """Finds the spans of one text after another."""
 
@@ -114,14 +126,13 @@ class Scanner:
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        known = list(out)
+        known = sorted(out)
         for m in self.run.finditer(text):
             if self.allow and self.allow.fullmatch(m[0]):
                 continue
             for a, b in hot_windows(m[0], self.rule):
-                a, b = a + m.start(), b + m.start()
-                if not any(s < b and a < e for s, _, e in known):
-                    out.append((a, 3, b))
+                rest = uncovered(a + m.start(), b + m.start(), known)
+                out += [(x, 3, y) for x, y in rest if any(c.isalnum() for c in text[x:y])]  # marks alone are no secret
         return sorted(out)
 
 
