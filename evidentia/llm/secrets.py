@@ -3,7 +3,8 @@
 Candidates are runs of ``[A-Za-z0-9+/_=-]`` of at least ``min_run`` characters. A window of ``window``
 characters slides over each; its entropy is kept by incremental counts (one character in, one out) and
 compared with the threshold of the window's character class (hexadecimal, letters and digits of one case,
-or base64). Adjoining hot windows are merged to one span of kind ``entropy``. Runs that an
+or base64) if it has digits; a window of any class, with or without digits, is hot too if many of its pairs of
+neighbours are none that words have. Adjoining hot windows are merged to one span of kind ``entropy``. Runs that an
 allow-list pattern covers are suppressed; of a span that fixed patterns found in part the rest is kept.
 
 Cases: null and empty texts have no spans; texts of any length are scanned whole; all offsets are code
@@ -16,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,6 +43,8 @@ class EntropyRule:
     alnum_bits: float = 3.7
     base64_bits: float = 4.0
     min_digits: int = 3
+    random_bits: float = 3.0  # with so many bits and ``odd_pairs`` a window is hot by its pairs
+    odd_pairs: int = 8
     allow: tuple = (
         r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs name things, they don't open them
         r"(?i:[\w+/=-]*(?:example|placeholder|changeme|your[_-]?key)[\w+/=-]*)",
@@ -95,6 +99,48 @@ def hot_windows(run: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+#: Letters that follow a letter in words of the Latin script.
+_FOLLOW = {
+    "a": "bcdgilmnprstuvy", "b": "aeiloruy", "c": "aehiklortu", "d": "aeiorsuy", "e": "abcdefghilmnprstuvwxy", "f": "aefilortu", "g": "aehilnorsu",
+    "h": "aeilnortu", "i": "acdefglmnoprstvz", "j": "aeou", "k": "aeilnost", "l": "adeilostuy", "m": "abeimopuy", "n": "acdegiknostuz", "o": "bcdfgilmnoprstuvw",
+    "p": "aefhiloprstu", "q": "u", "r": "acdegikmnorstuvy", "s": "acehikloptsuz", "t": "aehilorstuyz", "u": "abcdefgilmnprst", "v": "aeio", "w": "aehinor",
+    "x": "aept", "y": "aeos", "z": "aeituwy",
+}
+
+
+def odd_pair(a: str, b: str) -> bool:
+    """Whether neighbours are unlike words: a letter by a digit, a capital after a small letter, or letters that rarely follow."""
+    if a.isalpha() and b.isalpha():
+        return (a.islower() and b.isupper()) or b.lower() not in _FOLLOW[a.lower()]
+    return (a.isalpha() and b.isdigit()) or (a.isdigit() and b.isalpha())
+
+
+def odd_windows(run: str, rule: EntropyRule) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows of ``run`` that are random by their pairs; the count of odd pairs is kept up to date."""
+    w = rule.window
+    odd = [odd_pair(a, b) for a, b in zip(run, run[1:], strict=False)]
+    n = sum(odd[: w - 1])
+    for i in range(len(run) - w + 1):
+        if i:
+            n += odd[i + w - 2] - odd[i - 1]
+        if n >= rule.odd_pairs and math.log2(w) - sum(c * math.log2(c) for c in Counter(run[i : i + w]).values()) / w >= rule.random_bits:
+            yield i, i + w
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans that touch as one."""
+    start = end = None
+    for a, b in sorted(spans):
+        if start is not None and a <= end:
+            end = max(end, b)
+        else:
+            if start is not None:
+                yield start, end
+            start, end = a, b
+    if start is not None:
+        yield start, end
+
+
 def uncovered(start: int, end: int, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """What the (start, kind, end) of ``known``, in order, leave of a span."""
     for s, _, e in known:
@@ -130,7 +176,7 @@ class Scanner:
         for m in self.run.finditer(text):
             if self.allow and self.allow.fullmatch(m[0]):
                 continue
-            for a, b in hot_windows(m[0], self.rule):
+            for a, b in merged([*hot_windows(m[0], self.rule), *odd_windows(m[0], self.rule)]):
                 rest = uncovered(a + m.start(), b + m.start(), known)
                 out += [(x, 3, y) for x, y in rest if any(c.isalnum() for c in text[x:y])]  # marks alone are no secret
         return sorted(out)

@@ -298,6 +298,17 @@ def test_secrets_beside_fixed_patterns():
         assert key not in secrets.redact(f"see {text} there")
 
 
+def test_random_strings_are_told_from_words():
+    r = random.Random(14)
+    small, capital, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    s = secrets.Scanner()
+    for letters, least in ((small + capital + digits, 0.98), (small + capital + digits + "+/", 0.98), (small + digits, 0.98), (small + capital, 0.97), (small, 0.92), (capital, 0.92)):
+        for n in (20, 32):
+            assert np.mean([bool(s.spans("x " + "".join(r.choices(letters, k=n)) + " y")) for _ in range(500)]) >= least, letters
+    words = "einlichkeitverkeitach queelleaiierelletion Donaudampfschifffahrtsgesellschaft antidisestablishmentarianism getElementsByTagNameAndAttribute internal/very_long_path-to-some/file_name MAXIMUM_NUMBER_OF_RETRIES anticonstitutionnellement"
+    assert s.spans(words) == [] and all(s.spans(w) == [] for w in words.split())
+
+
 def test_entropy_counts_agree_with_recount():
     r = random.Random(6)
     rule = secrets.EntropyRule()
