@@ -205,7 +205,7 @@ ORPHANS = f"""WITH c AS (SELECT *, lower({blank('text')}) AS n FROM conversation
 
 def block_context_window(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-4, 4)
-    near = F.transform(F.collect_list(F.struct("turn", "text")).over(w), lambda x: F.concat_ws(":", x["turn"].cast("string"), F.substring(x["text"], 1, 20)))
+    near = F.transform(F.collect_list(F.struct("turn", "text")).over(w), lambda x: F.concat_ws(":", x["turn"].cast("string"), x["text"]))
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.array_join(near, "\n"), 256).alias("context_sha256"))
 
 

@@ -194,3 +194,19 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_context_windows_hold_whole_texts(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} of a conversation " + "and more " * k) for k in range(12)]
+    changed = [(2, k, role, text + " end" if k == 5 else text) for _, k, role, text in turns]
+    spark.createDataFrame(turns + changed, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["context_sha256"] for r in entry.queries()["block_context_window"](spark, str(tmp_path)).collect()}
+    for rows in (turns, changed):
+        for conv, k, _, _ in rows:
+            near = "\n".join(f"{j}:{text}" for _, j, _, text in rows[max(0, k - 4) : k + 5])
+            assert got[conv, k] == hashlib.sha256(near.encode()).hexdigest()
+    assert [k for k in range(12) if got[1, k] != got[2, k]] == list(range(1, 10))
