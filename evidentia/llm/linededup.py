@@ -1,19 +1,28 @@
 r"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 Lines are compared in lower case without outer blanks, as sets of character shingles of ``SHINGLE`` code points
-(a shorter line is one shingle). A line's signatures are its least and its greatest shingle hashes in order. Each run
-of ``ROWS`` neighbours in one is a band: lines that share a band are candidates, whatever the bands' places, so an
-edit spoils only the bands that hold it. Lines of every length have signatures of these kinds, made from all their
-distinct shingles, so that neither a line's length nor repetitions within it tell like lines apart.
+(a shorter line is one shingle), told apart by 64-bit hashes. A hash's upper bits name one of ``CLASSES``
+classes, and the ``ROWS`` least hashes of a class are a band: lines that share a band are candidates. Classes
+have no hash in common, so bands miss independently: at similarity s all do with (1 - s^ROWS)^CLASSES, 1 in
+2,000 or fewer at 0.8. Lines of few distinct shingles, where classes would be near empty, have bands that miss no
+pair of at least ``SIMILARITY``:
 
-Of lines with fewer than ``FEW[1]`` distinct shingles no pair of at least ``SIMILARITY`` is missed: at most
-m = (1 - SIMILARITY) n of a line's n shingles are not in a like line, so the ROWS least common hashes are among the
-ROWS + m least of either, and each choice of ROWS of these is a band. Lines from ``FEW[0]`` on have the signatures' bands.
+* from ``FEW[0]`` to ``FEW[1]`` distinct shingles, every run of ROWS neighbours in the order of hashes: what two
+  lines do not share are at most 1 in 5 of their hashes together, too few to break all runs from 16 hashes on;
+* under ``LEAST``, every choice of ROWS among the ROWS + m least, as at most m = (1 - SIMILARITY) n of a line's n
+  shingles are not in a like line.
 
-Candidates are verified by exact Jaccard similarity over all shingles, after their sizes and signatures. A band of many lines never emits all its
-pairs: each line is verified against the band's least line, components are taken, and only lines outside the
-band's commonest component are compared with lines of other components. Every component keeps its first line,
-by doc_id and line number.
+The kinds overlap so far that lines of similarity 0.8 always share one, and they go by distinct shingles, so
+neither length nor repetition tells like lines apart.
+
+Candidates are verified by exact Jaccard similarity over all shingles. Each line is first verified against one
+line, the least of its bands that it meets in most of them; then, where they are in different components, against
+the least line of each band; and last, in bands that still have several components, lines outside the commonest
+component against the lines of other components. So a band never emits all its pairs, and copies cost one verification
+each. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
+
+A band that holds very many lines is dealt over ``SALTS`` tasks, each with a least line of its own, and these are
+linked to the band's least line in the same way.
 
 Cases: lines without a word (and so empty and null texts) are kept and never compared; identical lines are one
 node by a 64-bit hash; with a repeated row (a doc_id twice, same text) the lines of both rows are equals, and
@@ -32,19 +41,28 @@ from .shared import WORD_CLASS, components, cut, free_name, let, read
 
 SHINGLE = 7
 SIMILARITY = 0.8
-KEPT_HASHES = 18
 ROWS = 4
-#: Lines with less than FEW[1] distinct shingles have exact bands, those with FEW[0] or more the signatures'. Like sets
-#: always share a kind: FEW[0] <= SIMILARITY * FEW[1].
-FEW = (16, 20)
-#: A pair whose signatures' common share is less than this is not verified: at similarity 0.8 one in 10,000 is.
-LEAST_SHARE = 0.4
+CLASS_BITS = 4
+CLASSES = 1 << CLASS_BITS
+#: Lines with fewer distinct shingles than LEAST have exact choices, those from FEW[0] to FEW[1] all runs, those with
+#: FEW[2] or more the bands of classes. Like sets always share a kind: FEW[0] <= 0.8 LEAST and FEW[2] <= 0.8 FEW[1].
+LEAST = 20
+FEW = (16, 48, 38)
+#: Of a line of more than WANTED shingles only the hashes below a limit are sorted, about WANTED of them; if repetition
+#: leaves fewer than ENOUGH distinct ones, all are.
+WANTED, ENOUGH = 96, 64
+#: A class of a line whose hashes are all known needs so many for a band; fewer would be common by chance.
+LEAST_IN_CLASS = 2
 #: Up to so many lines are sent to all executors to fetch their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+#: Bands are counted over one line in SAMPLE (by hash); those met HOT times or more there are dealt over SALTS tasks.
+SAMPLE, HOT, SALTS = 64, 500, 64
 
 #: Choices of ROWS places, those that need the fewest least hashes first.
-_CHOICES = sorted(combinations(range(ROWS + int((1 - SIMILARITY) * FEW[1] + 1e-9)), ROWS), key=lambda c: c[-1])
-_ALL = f"(?s)(?=(.{{{SHINGLE}}}))"
+_CHOICES = sorted(combinations(range(ROWS + int((1 - SIMILARITY) * LEAST + 1e-9)), ROWS), key=lambda c: c[-1])
+_LOW = (1 << (64 - CLASS_BITS)) - 1
+#: The least hash of each class.
+_MARKS = [(k << (64 - CLASS_BITS)) - (1 << 63) for k in range(CLASSES)]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -53,13 +71,24 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return own.where(F.col("raw").rlike(WORD_CLASS)).select("doc_id", "line_no", F.trim(F.lower("raw"), F.lit(" \t\r\v\f")).alias("line"))
 
 
-def _shingles(line: Column) -> Column:
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
+def shingle_hashes(line: Column) -> Column:
+    """The hashes of a line's shingles in order of place. Four bytes a code point, so that a shingle is a slice of bytes."""
+    wide = 4 * SHINGLE
+    slices = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (wide - 1), F.lit(4)), lambda i: F.xxhash64(F.substr(b, i, F.lit(wide))))
+    return let(F.encode(line, "UTF-32"), lambda b: F.when(F.octet_length(b) < wide, F.array(F.xxhash64(b))).otherwise(slices(b)))
 
 
-def _hashes(line: Column) -> Column:
-    """The hashes of a line's distinct shingles."""
-    return F.array_distinct(F.transform(_shingles(line), lambda x: F.xxhash64(x)))
+def signed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``whole`` and ``s``: distinct shingle hashes in order, all of them (``whole``) or those under the line's limit;
+    ``v``, the same among the marks of classes, and the places ``p`` of the marks there."""
+    some = lines.withColumn("hashes", shingle_hashes(F.col("line")))
+    limit = (F.lit(float(WANTED << (64 - CLASS_BITS))) / F.greatest(F.size("hashes"), F.lit(WANTED))).cast("long")
+    low = let(limit, lambda most: F.filter("hashes", lambda x: x.bitwiseAND(F.lit(_LOW)) < most))
+    some = some.withColumn("s", F.sort_array(F.array_distinct(F.when(F.size("hashes") <= WANTED, F.col("hashes")).otherwise(low))))
+    some = some.withColumn("whole", (F.size("hashes") <= WANTED) | (F.size("s") < ENOUGH))
+    every = F.when((F.size("hashes") > WANTED) & F.col("whole"), F.sort_array(F.array_distinct("hashes"))).otherwise(F.col("s"))
+    some = some.withColumn("s", every).withColumn("v", F.sort_array(F.concat("s", F.array(*map(F.lit, _MARKS)))))
+    return some.withColumn("p", F.array(*[F.array_position("v", F.lit(m)).cast("int") for m in _MARKS], F.size("v") + 1)).drop("hashes")
 
 
 def _band(s: Column, places: list) -> Column:
@@ -74,61 +103,99 @@ def _exact_bands(s: Column) -> Column:
     return F.transform(F.slice(choices, 1, F.get(sizes, spare.cast("int"))), lambda c: _band(s, [c[k] for k in range(ROWS)]))
 
 
-def bands(line: Column) -> Column:
-    """The bands of a line, as longs: choices among the least hashes of few shingles, runs of ROWS neighbours in the signatures of more."""
-    none = F.array().cast("array<bigint>")
-    starts = lambda n: F.array_union(F.sequence(F.lit(0), F.least(n, F.lit(KEPT_HASHES)) - ROWS), F.sequence(F.greatest(F.lit(0), n - KEPT_HASHES), n - ROWS))
-    runs = lambda s: F.transform(starts(F.size(s)), lambda i: _band(s, [i + k for k in range(ROWS)]))
-    both = lambda s: F.concat(F.when(F.size(s) < FEW[1], _exact_bands(s)).otherwise(none), F.when(F.size(s) >= FEW[0], runs(s)).otherwise(none))
-    return let(F.sort_array(_hashes(line)), both)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two lines' whole shingle sets; shingles are told apart by 64-bit hashes."""
-    ratio = lambda x, y: let(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both))
-    return let(_hashes(a), lambda x: let(_hashes(b), lambda y: ratio(x, y)))
+def _class_bands() -> Column:
+    """The ROWS least hashes of each class; of ``whole`` lines also all of a class with fewer, from LEAST_IN_CLASS on."""
+    least = F.when(F.col("whole"), LEAST_IN_CLASS).otherwise(ROWS)
 
+    def band(v: Column, need: Column, k: Column) -> Column:  # ``p`` is named twice so that it stays a column of its own, in generated code
+        n = F.get("p", k + 1) - F.get("p", k) - 1
+        return let(n, lambda n: F.when(n >= need, F.xxhash64(F.slice(v, F.get("p", k) + 1, F.least(n, F.lit(ROWS))))))
 
-def sketch(line: Column) -> Column:
-    """(n, least) of a line: its number of distinct shingles and the least hashes of all of them."""
-    made = lambda h: F.struct(F.size(h).alias("n"), F.slice(F.sort_array(h), 1, KEPT_HASHES).alias("least"))
-    return let(_hashes(line), made)
+    return F.array_compact(let(F.col("v"), lambda v: let(least, lambda need: F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: band(v, need, k)))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of at least ``similarity``: sizes are compared first, then signatures, and all shingles last."""
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"), F.col("s").alias("s_a"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("s").alias("s_b"))
-    sizes = F.least("s_a.n", "s_b.n") >= F.lit(similarity) * F.greatest("s_a.n", "s_b.n")
-    both = F.slice(F.sort_array(F.array_union("s_a.least", "s_b.least")), 1, KEPT_HASHES)
-    share = let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect("s_a.least", "s_b.least"))) / F.size(u))
-    near = pairs.join(left, "a").join(right, "b").where(sizes & (share >= min(LEAST_SHARE, similarity / 2)))
-    return near.where(jaccard(F.col("line_a"), F.col("line_b")) >= similarity).select("a", "b")
+def bands() -> Column:
+    """The bands of a line of ``signed``, as longs."""
+    none = F.array().cast("array<bigint>")
+    s, n, few = F.col("s"), F.size("s"), F.col("whole") & (F.size("s") < FEW[1])
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (ROWS - 1)), lambda i: F.xxhash64(F.slice(v, i, ROWS)))
+    exact = F.when(few & (n < LEAST), let(s, _exact_bands)).otherwise(none)
+    return F.concat(exact, F.when(few & (n >= FEW[0]), let(s, runs)).otherwise(none), F.when(~F.col("whole") | (n >= FEW[2]), _class_bands()).otherwise(none))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of at least ``similarity``, over all shingles; the sizes of both sets are compared first."""
+    left, right = (texts.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    near = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    both = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
+    return near.withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def hot_bands(entered: DataFrame) -> DataFrame:
+    """(band, hot): those that very many lines share, by a count over one line in SAMPLE. It steers where rows go, not what comes out."""
+    return entered.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("band", F.lit(True).alias("hot"))
+
+
+def band_members(signatures: DataFrame) -> DataFrame:
+    """(band, h, first): the lines of every band that more than one line has, with the band's (or salt's) least line."""
+    entered = signatures.select("h", F.explode(F.array_distinct("bands")).alias("band"))
+    hot = cut(hot_bands(entered))
+    some_hot, salt = not hot.isEmpty(), F.lit(0)
+    if some_hot:
+        entered = entered.join(F.broadcast(hot), "band", "left")  # one band for each HOT x SAMPLE rows at most
+        salt = F.when(F.col("hot"), 1 + F.pmod("h", F.lit(SALTS))).otherwise(0)
+    keys = entered.select("band", "h", salt.cast("int").alias("salt"))
+    within = Window.partitionBy("band", "salt")
+    marked = keys.withColumn("first", F.min("h").over(within)).withColumn("last", F.max("h").over(within))
+    members = cut(marked.where("first <> last OR salt > 0").select("band", "h", "first", "salt"))
+    if some_hot:
+        heads = members.where("salt > 0 AND h = first").select("band", "h")
+        least = heads.groupBy("band").agg(F.min("h").alias("first"))
+        members = members.unionByName(heads.join(least, "band").where("h <> first").withColumn("salt", F.lit(0)))
+    return members.select("band", "h", "first")
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (a, b) join components: only the roots that are linked are contracted further."""
+    more = components(links, native=True)
+    if roots is None:
+        return more
+    known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut(known.unionByName(more.join(roots, "node", "left_anti")))
+
+
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the components ``ra`` and ``rb`` of both ends, where these differ."""
+    for k in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left")
+    return pairs.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
 
 
 def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for every line hash that has a link: the components of links of at least ``similarity``."""
     lines = lines_of(documents).withColumn("h", F.xxhash64("line"))
-    # Grouped by the bands too, which follow from the line: so they are made once, and copies combine before the shuffle.
-    distinct = lines.select("h", bands(F.col("line")).alias("bands")).distinct()
-    entered = distinct.select("h", F.explode(F.array_distinct("bands")).alias("band"))
-    in_band = Window.partitionBy("band")
-    members = cut(entered.withColumn("first", F.min("h").over(in_band)).withColumn("last", F.max("h").over(in_band)).where("first <> last").select("band", "h", "first"))
+    # Grouped by the bands too, which follow from the line: so copies combine before the shuffle.
+    signatures = signed(lines).select("h", bands().alias("bands")).distinct()
+    members = band_members(cut(signatures))
     needed = cut(members.select("h").distinct())
     few = needed.count() <= BROADCAST_ROWS
-    texts = cut(lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("s", sketch(F.col("line"))))
-    to_first = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    links = cut(_verified(to_first, texts, similarity))
-    roots = components(links, native=True)
+    texts = lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").distinct()
+    texts = cut(texts.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))))
+    stars = cut(members.where("h <> first").groupBy("h", "first").agg(F.count("*").alias("k")))
+    one = stars.groupBy("h").agg(F.max_by("first", F.struct("k", "first")).alias("first"))
+    roots = joined_roots(None, verified(one.select(F.col("first").alias("a"), F.col("h").alias("b")), texts, similarity))
+    others = stars.join(one, ["h", "first"], "left_anti").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    more = verified(rooted(others, roots).select("a", "b"), texts, similarity)
+    roots = joined_roots(roots, rooted(more, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     placed = members.select("band", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
-    opened = placed.join(main, "band")
+    opened = cut(placed.join(main, "band"))
     outside = opened.where("comp <> main").select("band", F.col("h").alias("x"), F.col("comp").alias("cx"))
-    others = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
-    crossing = outside.join(others, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = crossing.join(to_first, ["a", "b"], "left_anti")
-    return components(links.unionByName(_verified(more, texts, similarity)), native=True)
+    inside = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
+    crossing = outside.join(inside, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    last = verified(crossing, texts, similarity)
+    return joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -163,7 +230,7 @@ SQL = """WITH RECURSIVE l AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INT)
  u AS (SELECT line, row_number() OVER (ORDER BY line) AS id, min((doc_id, line_no)) AS first FROM n GROUP BY line),
  g AS (SELECT DISTINCT id, substr(line, i, 7) AS sh FROM (SELECT id, line, unnest(range(1, greatest(2, length(line) - 5))) AS i FROM u)),
  c AS (SELECT id, count(*) AS n FROM g GROUP BY id),
- p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2 HAVING count(*) > 5),
+ p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
  e AS (SELECT x, y FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE k >= 0.8 * (a.n + b.n - k) UNION ALL SELECT y, x FROM p JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE k >= 0.8 * (a.n + b.n - k)),
  r(id, root) AS (SELECT id, id FROM u UNION SELECT e.y, r.root FROM r JOIN e ON r.id = e.x),
  q AS (SELECT id, min(root) AS root FROM r GROUP BY id), f AS (SELECT root, min(first) AS first FROM q JOIN u USING (id) GROUP BY root)
