@@ -14,6 +14,7 @@ repeated rows are packed each, as are rows with a null doc_id; an empty table gi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,46 +22,82 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, read, with_id, with_null_id
 
-_MARKS = (b".", b",", b";", b":", b"!", b"?")
+# What the vocabulary's normalization leaves as it is and what its pattern cuts into runs of letters, digits, runs of marks.
+# Apostrophes (contractions) and "<" (control tokens) are left to the tokenizer itself.
+_PLAIN = re.compile(r"[!-&(-;=-@\[-~\xdf-\xf6\xf8-\xff]+")
+_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level vocabularies name a printable byte by its own character, the others in order by those from 256 on.
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_ROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 SEPARATOR = b"\0\0\0\0"  # id 0, as four little-endian bytes
 
 
 class ChunkTokenizer:
-    """Token ids as little-endian bytes. Remembers white-space chunks, since no token of the vocabulary crosses white space."""
+    """Token ids as little-endian bytes. Remembers white-space chunks, since no token of the vocabulary crosses white space.
 
-    def __init__(self, path: str, memory: int = 600_000):
+    What is remembered is bounded by ``memory`` bytes; chunks over ``longest`` bytes are tokenized each time.
+    """
+
+    ENTRY = 180  # bytes that an entry takes beside its text and ids, about
+
+    def __init__(self, path: str, memory: int = 150_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.seen = Tokenizer.from_file(path), memory, {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        # The vocabulary is lower case; marks of control tokens are not, so texts that may hold one stay as they are.
-        split = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
-        seen = self.seen
-        if len(seen) > self.memory:
-            seen.clear()
-        new = {c for chunks in split for c in chunks if c not in seen}
-        # A mark after a letter is a token of its own, so that word and mark are looked up apart.
-        parted = [c for c in new if c[-1:] in _MARKS and c[-2:-1].isalpha()]
-        new.difference_update(parted)
-        for c in parted:
-            new.update(x for x in (c[:-1], c[-1:]) if x not in seen)
-        whole = list(new)
+        self.tokenizer, self.memory, self.longest, self.seen, self.used = Tokenizer.from_file(path), memory, longest, {}, 0
+        self.model = self.tokenizer.model
+
+    def plain(self, chunk: str, new: dict[bytes, bytes]) -> bytes:
+        """The ids of a chunk that normalization leaves alone: its pieces go to the vocabulary's merges directly."""
+        out = []
+        for piece in _PIECE.findall(chunk):
+            key = piece.encode()
+            if (ids := new.get(key) or self.seen.get(key)) is None:
+                ids = new[key] = array("I", [t.id for t in self.model.tokenize(key.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of ``chunks``; those that are short are remembered."""
+        new, whole = {}, []
+        for c in chunks:
+            if _PLAIN.fullmatch(text := c.decode()):
+                new[c] = self.plain(text, new)
+            else:
+                whole.append(c)
         for at in range(0, len(whole), 20_000):
             part = whole[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            seen.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, found, strict=True))
-        for c in parted:
-            seen[c] = seen[c[:-1]] + seen[c[-1:]]
-        get = seen.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
+            new.update((c, array("I", e.ids).tobytes()) for c, e in zip(part, found, strict=True))
+        if self.used > self.memory:
+            self.seen.clear()
+            self.used = 0
+        short = {c: ids for c, ids in new.items() if len(c) <= self.longest}
+        self.seen.update(short)
+        self.used += sum(len(c) + len(ids) + self.ENTRY for c, ids in short.items())
+        return new
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        # The vocabulary is lower case; marks of control tokens are not, so texts that may hold one stay as they are.
+        get, found, missing = self.seen.get, [], set()
+        for t in texts:
+            chunks = (t.encode() if "<|" in t else t.encode().lower()).split() if t else []
+            ids = list(map(get, chunks))
+            holes = [(k, chunks[k]) for k, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update(c for _, c in holes)
+            found.append((ids, holes))
+        new = self.learn(missing) if missing else {}
+        for ids, holes in found:
+            for k, c in holes:
+                ids[k] = new[c]
+            yield b"".join(ids)
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -69,21 +106,23 @@ _tokenizers: dict[str, ChunkTokenizer] = {}
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as token pieces of at most ``capacity``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = ChunkTokenizer(tokenizer_path)
         tokenizer = _tokenizers[tokenizer_path]
         for b in batches:
-            for at in range(0, len(b), 200):
-                part, rows = b.iloc[at : at + 200], []
-                for doc_id, ids in zip(part["doc_id"], tokenizer.encode([None if x is None or x != x else x for x in part["text"]]), strict=True):
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                columns = [[] for _ in range(5)]
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
                     ids += SEPARATOR
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
-                        rows.append((doc_id, k, a // 4, len(own) // 4, zlib.crc32(own)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        for column, x in zip(columns, (doc_id, k, a // 4, len(own) // 4, zlib.crc32(own)), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _ROW.types, strict=True)], schema=_ROW)
 
-    return with_id(documents).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_id(documents).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def enumerate_patterns(histogram: np.ndarray, stride: int) -> np.ndarray:
