@@ -37,7 +37,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, components, cut, free_name, let, read
+from .shared import WORD_CLASS, by_key, components, cut, free_name, let, read
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -126,7 +126,7 @@ def bands() -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least ``similarity``, over all shingles; the sizes of both sets are compared first."""
     left, right = (texts.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    near = pairs.join(by_key(left), "a").join(by_key(right), "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
     both = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
     return near.withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
@@ -160,14 +160,14 @@ def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     more = components(links, native=True)
     if roots is None:
         return more
-    known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return cut(known.unionByName(more.join(roots, "node", "left_anti")))
+    known = roots.join(by_key(more.select(F.col("node").alias("root"), F.col("root").alias("next"))), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut(known.unionByName(more.join(by_key(roots), "node", "left_anti")))
 
 
 def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the components ``ra`` and ``rb`` of both ends, where these differ."""
     for k in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left")
+        pairs = pairs.join(by_key(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))), k, "left")
     return pairs.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
 
 
@@ -184,16 +184,16 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     stars = cut(members.where("h <> first").groupBy("h", "first").agg(F.count("*").alias("k")))
     one = stars.groupBy("h").agg(F.max_by("first", F.struct("k", "first")).alias("first"))
     roots = joined_roots(None, verified(one.select(F.col("first").alias("a"), F.col("h").alias("b")), texts, similarity))
-    others = stars.join(one, ["h", "first"], "left_anti").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    others = stars.join(by_key(one), ["h", "first"], "left_anti").select(F.col("first").alias("a"), F.col("h").alias("b"))
     more = verified(rooted(others, roots).select("a", "b"), texts, similarity)
     roots = joined_roots(roots, rooted(more, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    placed = members.select("band", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
+    placed = members.select("band", "h").join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
-    opened = cut(placed.join(main, "band"))
+    opened = cut(placed.join(by_key(main), "band"))
     outside = opened.where("comp <> main").select("band", F.col("h").alias("x"), F.col("comp").alias("cx"))
     inside = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
-    crossing = outside.join(inside, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crossing = outside.join(by_key(inside), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     last = verified(crossing, texts, similarity)
     return joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 

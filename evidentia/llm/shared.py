@@ -18,11 +18,13 @@ GAP_CLASS = r"[\x20\x09-\x0D]"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from the session; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder, from the session; a temporary one only in local mode where none is set (tests)."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
+    if not known and sc.master.startswith("local"):
         known = tempfile.mkdtemp(prefix="evidentia-checkpoints-")
+    if not known:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
     return known
@@ -78,6 +80,13 @@ LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
 FINISH_ROWS = 1_000_000
+#: Orders of ids that rounds of ``components`` take in turn: few, so that generated code is the same again.
+MASKS = (0, *(random.Random(i).getrandbits(63) for i in (1, 2)))
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join by shuffle and sort: no side that may grow goes through the driver."""
+    return df.hint("merge")
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +111,7 @@ def components(edges: DataFrame, native: bool = False, limit: int = 80) -> DataF
     """Connected components of ``edges(a, b)`` (longs) as ``(node, root)``, for nodes that have an edge.
 
     Each round points every node to the neighbour (or itself) that is least in the round's order of ids, then
-    contracts the graph along these pointers. The orders differ by a random mask, so chains contract by a
+    contracts the graph along these pointers. The orders differ by a mask, so chains contract by a
     constant share per round in expectation; a star of any size goes in one. All steps are keyed joins and
     aggregates with map-side combination, and each round is cut in the shared folder. Once FINISH_ROWS edges or
     fewer are left, and unless only DataFrame functions may be used (``native``), one task finishes by
@@ -111,19 +120,18 @@ def components(edges: DataFrame, native: bool = False, limit: int = 80) -> DataF
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pointers: list[DataFrame] = []
     for i in range(limit):
-        left = live.count()
-        if not left:
+        if live.isEmpty():
             break
-        if not native and left <= FINISH_ROWS:
+        if not native and live.count() <= FINISH_ROWS:
             pointers.append(live.coalesce(1).mapInPandas(_finish, "node long, to long"))
             break
-        mask = F.lit(0 if i == 0 else random.Random(i).getrandbits(63))
+        mask = F.lit(MASKS[i % len(MASKS)])
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mask)).alias("m"))
         to = cut(least.select(F.col("a").alias("node"), F.least(F.col("m"), F.col("a").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")))
         pointers.append(to)
         x, y = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = live.join(x, "a").join(y, "b").where("x <> y")
+        moved = live.join(by_key(x), "a").join(by_key(y), "b").where("x <> y")
         live = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
@@ -132,5 +140,5 @@ def components(edges: DataFrame, native: bool = False, limit: int = 80) -> DataF
     out = pointers[0].withColumnRenamed("to", "root")
     for to in pointers[1:]:
         step = to.select(F.col("node").alias("root"), F.col("to").alias("next"))
-        out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        out = out.join(by_key(step), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return cut(out)
