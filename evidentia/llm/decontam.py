@@ -11,7 +11,10 @@ score; the score is the share of the item's best possible score. An item matches
 Word counts and matching read whole texts of all documents. The seeds are sent to all executors while there
 are at most ``BROADCAST_SEEDS`` of them; a larger benchmark is split into parts that are scanned in turn.
 
-Cases: null and empty texts, on either side, match nothing; items of fewer than ``SEED`` words are one seed;
+In scripts without blanks between words every letter is a word.
+
+Cases: null and empty texts, on either side, match nothing; items of fewer than ``SEED`` words are one seed, and
+are not looked for if all their words are common (``SHORT_COUNT``), as any text may hold them;
 the distinct texts of one item id are aligned each by itself, and the id counts once, with the best of their scores
 and the seeds hit of all; repeated documents are matched each, as are those with a null doc_id; an empty benchmark
 or corpus gives no rows.
@@ -37,10 +40,19 @@ THRESHOLD = 0.45
 BROADCAST_SEEDS = 2_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 _WORDS = re.compile(r"[^\W_]+")
+#: Letters of scripts that set no blanks between words (kana, Han, Thai, Lao, Burmese, Khmer): each is a word of its own.
+_UNSPACED = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_MIXED = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
+#: Items of fewer than SEED words count as copied only if their rarest word occurs at most so often in the corpus, and so often per million words.
+SHORT_COUNT, SHORT_PER_MILLION = 3, 1
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_WORDS if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED).findall(text)
 
 
 def similar(a: str, b: str) -> float:
@@ -122,7 +134,7 @@ def make_seeds(items: dict[int, list[str]], counts: dict[str, int], total: int,
     out = Seeds(vocabulary, {}, {}, items, ids or {k: k for k in items})
     for item, ws in items.items():
         if len(ws) < seed:
-            if ws:
+            if ws and min(counts.get(w, 0) for w in ws) <= SHORT_COUNT + SHORT_PER_MILLION * total / 1e6:
                 out.short.setdefault(tuple(vocabulary[w] for w in ws), []).append(item)
             continue
         runs = [(k, ws[k : k + seed]) for k in range(len(ws) - seed + 1)]
