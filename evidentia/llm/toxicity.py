@@ -1,23 +1,22 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
+"""Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text.
 
 A fit takes a bounded sample of labelled rows outside the held-out fold (``max_toxic`` and ``max_ordinary``
-documents of least id hash, of at most ``max_bytes`` each). Of near copies in it only one counts. The ordinary
-dictionary is trained on passages of ordinary documents, the toxic one on the words of toxic documents, each
-with its neighbourhood of blanks, that toxic documents have far more often; the toxic compressor holds both, so
-that only toxic matter makes it better. A text is cut into windows of ``WINDOW`` words; a window's gain is the
-length by which the toxic compressor beats the ordinary one. Gains over two calibrated thresholds, their number
-and the largest gain are weighed by a logistic function fitted on the sample's other half.
+documents of least id hash, of at most ``max_bytes`` each). Of near copies in it only one counts. Both
+dictionaries are trained by zstandard: the ordinary one on passages of ordinary documents, the toxic one on
+passages of toxic documents, less what ordinary documents have as often (toxic documents are mostly ordinary text,
+which would fill the dictionary). A window of ``WINDOW`` words is compressed twice, once with the ordinary
+dictionary alone and once with the toxic one before it; the bytes saved are its gain. A document's excess is the
+sum of its windows' gains beyond a threshold. The threshold, and the logistic curve that turns the excess into a
+score, are calibrated on documents of the sample that no dictionary was trained on.
 
 Cases: null and empty texts have no gain and score as such; texts of any length are read whole; without labels
 of both kinds every score is the labels' mean (0 without any). Repeated rows score alike; a null doc_id is
-not held out. Labels, lang, source
-and doc_id are no inputs of a score.
+not held out. Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +27,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LETTER_RUN, fold_of, held_out, read, with_id, with_null_id
+from .shared import fold_of, held_out, read, with_id, with_null_id
 
 WINDOW = 6
 LEVEL = 3
-ORDINARY_BYTES, TOXIC_BYTES = 24_576, 1_024
+ORDINARY_BYTES, TOXIC_BYTES = 24_576, 2_048
+GRAM, SLOT_BITS, SEGMENT = 6, 22, 24
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Contents of both dictionaries, calibrated gain thresholds, and the logistic weights (the last is the constant)."""
+    """Contents of both dictionaries, the calibrated threshold of a window's gain, and the slope and constant of the score."""
 
     ordinary: bytes
     toxic: bytes
-    thresholds: tuple[int, int]
-    weights: tuple[float, ...]
+    threshold: int
+    curve: tuple[float, float]
 
 
 def windows(text: str | None, width: int = WINDOW) -> list[bytes]:
@@ -71,12 +71,9 @@ class Gains:
         return self.plain.lengths(parts) - self.both.lengths(parts) if parts else np.zeros(0, np.int64)
 
 
-def features(gains: np.ndarray, thresholds: tuple[int, int]) -> list[float]:
-    if not len(gains):
-        return [0.0] * 5
-    low, high = ((gains >= t).sum() for t in thresholds)
-    top = np.sort(gains)[::-1][:3]
-    return [max(0.0, float(top[0])), max(0.0, float(top.mean())), float(np.log1p(low)), float(np.log1p(high)), float(high / len(gains) ** 0.5)]
+def excess(gains: np.ndarray, threshold: int) -> float:
+    """How far a document's windows exceed the threshold together, on a log scale."""
+    return float(np.log1p(np.maximum(0, gains - threshold).sum())) if len(gains) else 0.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -106,12 +103,36 @@ def distinct_texts(texts: list[str]) -> list[str]:
     return out
 
 
-def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 3.0) -> dict[str, int]:
-    """Words that toxic texts have more often: with two standard errors either way, over ``ratio`` times."""
-    of = lambda texts: Counter(w for t in texts for w in set(LETTER_RUN.findall(t.lower())))
-    a, b = of(toxic), of(ordinary)
-    rare = lambda w: (a[w] - 2 * a[w] ** 0.5) / max(1, len(toxic)) > ratio * (b[w] + 2 * (b[w] + 1) ** 0.5) / max(1, len(ordinary))
-    return {w: n for w, n in sorted(a.items()) if len(w) >= 3 and rare(w)}
+def _gram_slots(part: bytes) -> np.ndarray:
+    """Slots of the GRAM-byte strings of ``part`` in a table of counts."""
+    data = np.frombuffer(part, np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[k : k + len(h)] + np.uint64(1)
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _gram_rates(texts: list[str]) -> tuple[np.ndarray, float]:
+    """In how many texts each slot occurs, and the number of texts' bytes."""
+    counts, size = np.zeros(1 << SLOT_BITS, np.int32), 0
+    for t in texts:
+        whole = b"".join(windows(t, 64))
+        counts[np.unique(_gram_slots(whole))] += 1
+        size += len(whole)
+    return counts, max(1, size)
+
+
+def toxic_stretches(toxic: list[str], ordinary: list[str], ratio: float = 4.0) -> list[bytes]:
+    """Passages of toxic texts less what ordinary texts have as often: stretches of strings that are ``ratio`` times as frequent, with two standard errors."""
+    (a, size_a), (b, size_b) = _gram_rates(toxic), _gram_rates(ordinary)
+    telling = (a - 2 * np.sqrt(a)) / size_a > ratio * (b + 2 * np.sqrt(b + 1)) / size_b
+    out = []
+    for t in toxic:
+        for w in windows(t, 64):
+            hit = telling[_gram_slots(w)]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+            out += [w[i : j + GRAM - 1] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return out
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -126,33 +147,29 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Dictionaries from one half of either kind, thresholds and weights from the other."""
+    """Dictionaries from three fifths of either kind, threshold and curve from the rest."""
     toxic, ordinary = distinct_texts(toxic), distinct_texts(ordinary)
     if min(len(toxic), len(ordinary)) < 4:
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        return ToxicityModel(b"", b"", (1, 1), (0.0,) * 5 + (float(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9))),))
+        return ToxicityModel(b"", b"", 0, (0.0, float(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9)))))
     split = lambda texts: (texts[: len(texts) * 3 // 5], texts[len(texts) * 3 // 5 :])
     (t_fit, t_cal), (o_fit, o_cal) = split(toxic), split(ordinary)
-    words = telling_words(t_fit, o_fit)
-    plain = _dictionary([w for t in o_fit for w in windows(t, 64)][:40000], ORDINARY_BYTES, 32)
-    # Every word takes a share of the dictionary that grows slowly with its count.
-    own = [f" {w} ".encode() for w, n in words.items() for _ in range(2 + int(np.log2(n)))]
-    order = np.random.default_rng(5).permutation(len(own))
-    bad = _dictionary([b"".join(own[k] for k in order[i : i + 8]) for i in range(0, len(own), 8)], TOXIC_BYTES, 16)
-    spell = b"".join(f" {w} ".encode() for w in sorted(words, key=words.get))
-    bad = (bad + spell)[-12 * TOXIC_BYTES :]
+    plain = _dictionary([w for t in o_fit for w in windows(t, 64)], ORDINARY_BYTES, 32)
+    stretches = toxic_stretches(t_fit, o_fit)
+    # Zstandard trains on samples of some length: several stretches, in an order of chance, are one.
+    order = np.random.default_rng(5).permutation(len(stretches))
+    bad = _dictionary([b"".join(stretches[k] for k in order[i : i + 8]) for i in range(0, len(order), 8)], TOXIC_BYTES, SEGMENT)
     gains = Gains(plain, bad)
     g = [gains.of(t) for t in t_cal] + [gains.of(t) for t in o_cal]
     y = np.array([1.0] * len(t_cal) + [0.0] * len(o_cal))
     best = None
-    for low in (1, 2, 3):
-        for high in range(low + 1, 7):
-            x = np.array([features(v, (low, high)) for v in g])
-            w = logistic(x, y)
-            p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
-            loss = -np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
-            if best is None or loss < best[0]:
-                best = (loss, (low, high), tuple(map(float, w)))
+    for threshold in range(8):
+        x = np.array([[excess(v, threshold)] for v in g])
+        w = logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x[:, 0] * w[0] + w[1], -30, 30)))
+        loss = -np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
+        if best is None or loss < best[0]:
+            best = (loss, threshold, (float(w[0]), float(w[1])))
     return ToxicityModel(plain, bad, best[1], best[2])
 
 
@@ -170,11 +187,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordi
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.gains = model, Gains(model.ordinary, model.toxic)
-        self.weights = np.array(model.weights)
 
     def score(self, text: str | None) -> float:
         gains = self.gains.of(text) if self.model.toxic else np.zeros(0, np.int64)
-        odds = float(np.dot([*features(gains, self.model.thresholds), 1.0], self.weights))
+        odds = self.model.curve[0] * excess(gains, self.model.threshold) + self.model.curve[1]
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 
