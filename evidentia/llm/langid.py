@@ -73,10 +73,10 @@ def model_of(counts: list[tuple[str, int, str, int]]) -> LanguageModel:
 
 
 class Scorer:
-    """Scores texts; remembers the scores of white-space chunks, up to ``memory`` of them."""
+    """Scores texts; remembers the scores of white-space chunks of at most ``longest`` characters, up to ``memory`` of them."""
 
-    def __init__(self, model: LanguageModel, memory: int = 400_000):
-        self.model, self.memory = model, memory
+    def __init__(self, model: LanguageModel, memory: int = 400_000, longest: int = 64):
+        self.model, self.memory, self.longest = model, memory, longest
         self.reset()
 
     def reset(self) -> None:
@@ -93,15 +93,18 @@ class Scorer:
                 return [sum(x) / len(found) for x in zip(*found, strict=True)]
         return (0.0,) * len(self.model.langs)
 
-    def chunk(self, chunk: str) -> int:
-        k = len(self.seen)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+    def scored(self, chunk: str) -> np.ndarray:
         row = np.zeros(self.rows.shape[1])
         for w in LETTER_RUN.findall(chunk):
             row[:-1] += self.word(w)
             row[-1] += 1
-        self.rows[k] = row
+        return row
+
+    def chunk(self, chunk: str) -> int:
+        k = len(self.seen)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[k] = self.scored(chunk)
         self.seen[chunk] = k
         return k
 
@@ -111,10 +114,14 @@ class Scorer:
         if len(self.seen) > self.memory:
             self.reset()
         get, chunk = self.seen.get, self.chunk
-        at = [chunk(c) if (k := get(c)) is None else k for c in text.lower().split()]
-        if not at:
-            return "und", 0.0
-        total = self.rows[at].sum(axis=0)
+        chunks = text.lower().split()
+        long = [c for c in chunks if len(c) > self.longest]
+        if long:  # scripts without blanks, or junk: not remembered
+            chunks = [c for c in chunks if len(c) <= self.longest]
+        at = [chunk(c) if (k := get(c)) is None else k for c in chunks]
+        total = self.rows[at].sum(axis=0) if at else np.zeros(self.rows.shape[1])
+        for c in long:
+            total = total + self.scored(c)
         if not total[-1]:
             return "und", 0.0
         gap = total[:-1] - total[:-1].max()
