@@ -149,7 +149,8 @@ def link_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             left, right = cell_links(cell, fp, radius)
             yield pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
 
-    entered = prints.select("fp").distinct().select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes many: small tables are not left in few tasks
+    entered = prints.select("fp").distinct().repartition(spread, "fp").select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     ordered = entered.repartition("cell").sortWithinPartitions("cell", "fp")
     return components(ordered.select("cell", "fp").mapInPandas(run, "a long, b long"))
 
