@@ -37,7 +37,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, by_key, components, cut, free_name, let, read
+from .shared import WORD_CLASS, by_key, components, cut, free_name, let, read, release
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -158,6 +158,7 @@ def band_members(signatures: DataFrame) -> DataFrame:
 def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after ``links`` (a, b) join components: only the roots that are linked are contracted further."""
     more = components(links, native=True)
+    release(links.sparkSession)
     if roots is None:
         return more
     known = roots.join(by_key(more.select(F.col("node").alias("root"), F.col("root").alias("next"))), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
@@ -177,10 +178,12 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     # Grouped by the bands too, which follow from the line: so copies combine before the shuffle.
     signatures = signed(lines).select("h", bands().alias("bands")).distinct()
     members = band_members(cut(signatures))
+    release(documents.sparkSession)
     needed = cut(members.select("h").distinct())
     few = needed.count() <= BROADCAST_ROWS
     texts = lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").distinct()
     texts = cut(texts.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))))
+    release(documents.sparkSession)
     stars = cut(members.where("h <> first").groupBy("h", "first").agg(F.count("*").alias("k")))
     one = stars.groupBy("h").agg(F.max_by("first", F.struct("k", "first")).alias("first"))
     roots = joined_roots(None, verified(one.select(F.col("first").alias("a"), F.col("h").alias("b")), texts, similarity))
@@ -191,6 +194,7 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
     opened = cut(placed.join(by_key(main), "band"))
+    release(documents.sparkSession)
     outside = opened.where("comp <> main").select("band", F.col("h").alias("x"), F.col("comp").alias("cx"))
     inside = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
     crossing = outside.join(by_key(inside), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

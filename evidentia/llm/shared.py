@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 import tempfile
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect finished plans, so that Spark's cleaner drops their shuffle files, broadcasts and generated code.
+
+    It does so by itself only when the heap is full; an operator of many small jobs should not wait for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
