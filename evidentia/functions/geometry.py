@@ -10,8 +10,9 @@ _at = lambda b, k: F.get(b, F.lit(k))
 
 def normal_box(b: Column, keep_flat: bool = False) -> Column:
     """A box on the scale 0 to 1; boxes on 0 to 1000 are told by a value over 1.5. Boxes without extent are null, unless kept."""
-    scale = F.when(F.array_max(F.transform(b, F.abs)) > 1.5, 1000.0).otherwise(1.0)
-    scaled = F.transform(b, lambda v: v / scale)
+    # Written out by corner, so that it stays in generated code.
+    scale = F.when(F.greatest(*[F.abs(_at(b, k)) for k in range(4)]) > 1.5, 1000.0).otherwise(1.0)
+    scaled = F.array(*[_at(b, k) / scale for k in range(4)])
     fine = F.size(b) == 4
     return F.when(fine if keep_flat else fine & (_at(b, 2) > _at(b, 0)) & (_at(b, 3) > _at(b, 1)), scaled)
 
@@ -25,7 +26,7 @@ def iou(a: Column, b: Column) -> Column:
 
 
 def largest_delta(a: Column, b: Column) -> Column:
-    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    return F.greatest(*[F.abs(_at(a, k) - _at(b, k)) for k in range(4)])
 
 
 def overlap_share(a: Column, b: Column) -> Column:

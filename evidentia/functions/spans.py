@@ -47,7 +47,7 @@ class _Places:
     def __init__(self, text: str, marks: str, at_edge: bool):
         # A mark counts if blanks follow it within reach, or (``at_edge``) if it is the last character in reach.
         self.at_edge = at_edge
-        self.marks = [m.start() for m in re.finditer(f"[{marks}]", text)]
+        self.marks = [m.start() for m in re.finditer(f"[{re.escape(marks)}]", text)]
         self.blanks = [(m.start(), m.end()) for m in re.finditer(r"\s+", text)]
         self.blank_starts = [a for a, _ in self.blanks]
         self.after = dict(self.blanks)

@@ -54,23 +54,25 @@ def best_evidence(evidence: DataFrame, parents: DataFrame) -> DataFrame:
 def substring_coverage(evidence: DataFrame, parents: DataFrame) -> DataFrame:
     """(evidence_id, parents): in how many parents each evidence's normal text stands, word for word.
 
-    Candidates share the evidence's first words, hashed; only those are compared in full. Evidence that is small
-    is tested at once.
+    Evidence of six words or more is met by a join on four of its inner words, hashed (it may start and end inside
+    a word), and only what meets is compared in full. Shorter evidence is a set of queries that is tested against
+    all parents in blocks of at most BROADCAST_ROWS.
     """
-    needles = evidence.select("evidence_id", F.lower(text.collapse(F.col("text"))).alias("needle")).where("needle <> ''")
+    needles = evidence.select("evidence_id", F.lower(text.collapse(F.col("text"))).alias("needle")).where("needle <> ''").withColumn("w", F.split("needle", " "))
     hay = parents.select("parent_id", F.lower(text.collapse(F.col("text"))).alias("hay"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 3)), lambda i: F.xxhash64(F.slice(c, i, F.lit(4))))
+    keyed = hay.where(F.size(F.split("hay", " ")) >= 6).select("parent_id", "hay", F.element_at(F.transform(F.array(F.split("hay", " ")), grams), 1).alias("keys"))
+    long = needles.where("size(w) >= 6").select("evidence_id", "needle", F.xxhash64(F.slice("w", 2, 4)).alias("key"))
     if is_small(evidence, "text"):
-        found = hay.join(F.broadcast(needles), F.contains("hay", "needle"))
-    else:
-        grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - 4)), lambda i: F.xxhash64(F.slice(c, i + 1, F.lit(4))))
-        words = F.split("hay", " ")
-        keyed = hay.select("parent_id", "hay", F.explode(F.array_distinct(grams(words))).alias("key"))
-        # An evidence may start and end inside a word, so its key is its second to fifth word; shorter ones are kept apart.
-        inner = needles.withColumn("w", F.split("needle", " "))
-        long = inner.where("size(w) >= 6").select("evidence_id", "needle", F.xxhash64(F.slice("w", 2, 4)).alias("key"))
-        found = keyed.join(long, "key").where(F.contains("hay", "needle")).select("evidence_id", "parent_id").distinct()
-        short = hay.join(F.broadcast(inner.where("size(w) < 6").select("evidence_id", "needle")), F.contains("hay", "needle")).select("evidence_id", "parent_id")
-        found = found.unionByName(short)
+        long = F.broadcast(long)
+    met = keyed.select("parent_id", "hay", F.explode_outer("keys").alias("key")).join(long, "key")
+    found = met.where(F.contains("hay", "needle")).select("evidence_id", "parent_id").distinct()
+    short = needles.where("size(w) < 6").select("evidence_id", "needle")
+    n = short.count()
+    blocks = -(-n // max(1, BROADCAST_ROWS))
+    for k in range(blocks):
+        own = short if blocks == 1 else short.where(F.pmod(F.xxhash64("evidence_id"), F.lit(blocks)) == k)
+        found = found.unionByName(hay.join(F.broadcast(own), F.contains("hay", "needle")).select("evidence_id", "parent_id"))
     counts = found.groupBy("evidence_id").agg(F.count("*").alias("n"))
     return evidence.select("evidence_id").join(counts, "evidence_id", "left").select("evidence_id", F.coalesce("n", F.lit(0)).alias("parents"))
 

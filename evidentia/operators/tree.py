@@ -34,12 +34,16 @@ def flatten(trees: DataFrame, children: str = "children") -> DataFrame:
 def parents_by_depth(nodes: DataFrame) -> DataFrame:
     """``nodes(doc, idx, depth)`` with parent_idx: the last earlier node of smaller depth; null at the top.
 
-    Per document, the last index of each depth is carried along; a parent is the largest of those above.
+    For each smaller depth of the document (depths are few) the last earlier node of that depth is carried along; a
+    parent is the largest of these. No list of earlier nodes is built.
     """
-    w = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("idx", "depth")).over(w)
-    parent = F.array_max(F.transform(F.filter(before, lambda x: x["depth"] < F.col("depth")), lambda x: x["idx"]))
-    return nodes.withColumn("parent_idx", parent)
+    depths = nodes.select("doc", F.col("depth").alias("d2")).distinct()
+    asked = nodes.select("doc", "idx", "depth").join(depths, "doc").where("d2 < depth").select("doc", "idx", "d2", F.lit(None).cast(nodes.schema["idx"].dataType).alias("own"))
+    there = nodes.select("doc", "idx", F.col("depth").alias("d2"), F.col("idx").alias("own"))
+    before = Window.partitionBy("doc", "d2").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(there).withColumn("last", F.last("own", ignorenulls=True).over(before)).where("own IS NULL")
+    parent = found.groupBy("doc", "idx").agg(F.max("last").alias("parent_idx"))
+    return nodes.join(parent, ["doc", "idx"], "left")
 
 
 def page_ranges(entries: DataFrame) -> DataFrame:

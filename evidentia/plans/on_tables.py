@@ -242,8 +242,9 @@ CLASS_METRICS = """WITH k(label) AS (VALUES (0), (1)), c AS (SELECT label, count
 
 def macro_metrics(spark, sf_dir):
     out = datasets.class_metrics(t(spark, sf_dir, "labels"), "quality", "toxic")
-    right = t(spark, sf_dir, "labels").agg(F.avg((F.col("quality") == F.col("toxic")).cast("double")).alias("accuracy")).first()["accuracy"]
-    return out.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1")).withColumn("accuracy", F.round(F.lit(right), 6))
+    macro = out.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"))
+    right = t(spark, sf_dir, "labels").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("double")), 6).alias("accuracy"))
+    return macro.join(right, macro["precision"].isNotNull() | macro["precision"].isNull())  # one row each
 
 
 MACRO = """WITH k(label) AS (VALUES (0), (1)), c AS (SELECT label, count(*) FILTER (quality = label AND toxic = label) AS hit, count(*) FILTER (toxic = label) AS guessed, count(*) FILTER (quality = label) AS support FROM labels, k GROUP BY label),
@@ -269,12 +270,12 @@ DISTRIBUTION = "SELECT lang, toxic, count(*) AS n, min(n_chars) AS least, max(n_
 
 
 def group_softmax(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").select("label", datasets.softmax(F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))).alias("p"))
+    e = t(spark, sf_dir, "embeddings").select("label", datasets.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
     out = datasets.group_scores(e, "label", F.get("p", F.lit(1)))
     return out.select("label", F.round("mean_p1", 6).alias("mean_p1"), F.round("max_p1", 6).alias("max_p1"), F.round("min_p1", 6).alias("min_p1"), "chunks", "label_mean")
 
 
-SOFTMAX = """WITH p AS (SELECT label, 1 / (1 + exp(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))) AS p1 FROM embeddings)
+SOFTMAX = """WITH m AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e, CAST(list_max(embedding) AS DOUBLE) AS top FROM embeddings), p AS (SELECT label, exp(e[2] - top) / list_sum(list_transform(e, lambda x: exp(x - top))) AS p1 FROM m)
  SELECT label, round(avg(p1), 6) AS mean_p1, round(max(p1), 6) AS max_p1, round(min(p1), 6) AS min_p1, count(*) AS chunks, CAST(avg(p1) >= 0.5 AS INT) AS label_mean FROM p GROUP BY label"""
 
 

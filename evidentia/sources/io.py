@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sqlite3
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +54,91 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def publish(outputs: dict[str, DataFrame], statuses: DataFrame, folder: str) -> bool:
-    """All or nothing: statuses are always written; outputs only if every document passes, else earlier ones are emptied."""
-    statuses.write.mode("overwrite").json(f"{folder}/status")
+    """All or nothing: statuses are always written; outputs only if every document passes, else earlier ones are emptied.
+
+    Everything is written beside first; folders take their places by renaming only when all are complete.
+    """
+    spark = statuses.sparkSession
     fine = statuses.where(F.col("status").isNull() | (F.col("status") != "pass")).isEmpty()
-    for name, df in outputs.items():
-        (df if fine else df.limit(0)).write.mode("overwrite").json(f"{folder}/{name}")
+    own = {"status": statuses} | {name: df if fine else df.limit(0) for name, df in outputs.items()}
+    staged = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    for name, df in own.items():
+        df.write.json(f"{staged}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in own:
+        files.delete(path(f"{folder}/{name}"), True)
+        if not files.rename(path(f"{staged}/{name}"), path(f"{folder}/{name}")):
+            raise OSError(f"could not publish {name}; complete outputs are in {staged}")
+    files.delete(path(staged), True)
     return fine
 
 
+def read_sqlite(spark: SparkSession, paths: str | list[str], query: str, schema: str) -> DataFrame:
+    """The rows of ``query`` over every SQLite file of ``paths``; files are opened from their bytes, one to a task's row."""
+
+    def rows(batches):
+        for b in batches:
+            for content in b["content"]:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                cursor = con.execute(query)
+                while part := cursor.fetchmany(10_000):
+                    yield pd.DataFrame(part, columns=[c[0] for c in cursor.description])
+                con.close()
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(rows, schema)
+
+
+def active_memory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The active items of memory stores, with their lists decoded."""
+    raw = read_sqlite(spark, paths, "SELECT memory_id, memory_type, text, tags_json, confidence, updated_at_utc FROM memories WHERE status = 'active'", "memory_id string, memory_type string, text string, tags_json string, confidence double, updated_at_utc string")
+    return raw.withColumn("tags", F.from_json("tags_json", "array<string>")).drop("tags_json")
+
+
+def reference_rows(sets: DataFrame) -> DataFrame:
+    """``sets(slug, tables array<struct<label, evidence array<struct<evidence_id, text>>>>)`` as a row per evidence; the slug loses its suffix."""
+    one = sets.select(F.regexp_replace("slug", "_fulltext_conditions$", "").alias("slug"), F.explode("tables").alias("t"))
+    return one.select("slug", F.col("t.label").alias("label"), F.posexplode("t.evidence").alias("pos", "e")).select("slug", "label", "pos", "e.evidence_id", "e.text")
+
+
+def paired_sources(specifications: dict) -> list[dict]:
+    """Sources of a configuration: its list ``sources``, or pairs of keys ``<prefix>_anchor_manifest`` and ``<prefix>_popo_tree_dir``. A slug used twice is an error."""
+    own = list(specifications.get("sources") or [])
+    for key, manifest in specifications.items():
+        prefix = key.removesuffix("_anchor_manifest")
+        if prefix != key and f"{prefix}_popo_tree_dir" in specifications:
+            own.append({"slug": prefix, "anchor_manifest": manifest, "tree_dir": specifications[f"{prefix}_popo_tree_dir"]})
+    slugs = [s.get("slug") for s in own]
+    if twice := sorted({s for s in slugs if slugs.count(s) > 1}):
+        raise ValueError(f"sources used twice: {twice}")
+    return own
+
+
+def reviewed_paths(documents: DataFrame, allow_draft: bool) -> DataFrame:
+    """``documents(doc, explicit, reviewed, draft)`` to the path that is read: the explicit one, else the reviewed, else the draft if allowed; null is none."""
+    return documents.select("doc", F.coalesce("explicit", "reviewed", *(["draft"] if allow_draft else [])).alias("path"))
+
+
+def decision_report(decisions: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """(key, problem): decisions that nothing asked for, that came twice or more, and that are missing."""
+    got = decisions.groupBy(key).agg(F.count("*").alias("n"))
+    joined = got.join(expected.select(key, F.lit(True).alias("_asked")).distinct(), key, "full")
+    bad = F.when(F.col("_asked").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate")
+    return joined.select(key, bad.alias("problem")).where("problem IS NOT NULL")
+
+
+def flattened_samples(tables: DataFrame) -> DataFrame:
+    """``tables(doc, table_id, parents array<struct<parent_id, children array<struct<child_id, text, label>>>>)`` as a row per child."""
+    one = tables.select("doc", "table_id", F.explode("parents").alias("p")).select("doc", "table_id", "p.parent_id", F.explode("p.children").alias("c"))
+    return one.select("doc", "table_id", "parent_id", "c.*")
+
+
+def log_errors(errors: DataFrame, folder: str) -> None:
+    """Appends ``errors(paper_id, error_type, message)`` with the time, in UTC."""
+    errors.withColumn("logged_at_utc", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(folder)
+
+
 def left_to_do(rows: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
     """What a resumed run has still to do."""
     return rows if done is None else rows.join(done.select(*keys).distinct(), keys, "left_anti")

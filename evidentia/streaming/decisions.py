@@ -1,4 +1,4 @@
-"""Decisions and feedback as a stream of JSON-lines files: each file is taken in once, later versions win."""
+"""Decisions and feedback as a stream of JSON-lines files: each file is taken in once, and of a decision the first version within the watermark."""
 
 from __future__ import annotations
 
