@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import geometry, htmltable, jsonfix, mentions, scoring, text
-from evidentia.operators import captions, datasets, inventory, matching, paragraphs, policy, review, tree
+from evidentia.operators import captions, datasets, inventory, matching, paragraphs, policy, review, training, tree
 from evidentia.plans.on_text import t
 
 
@@ -14,11 +14,9 @@ def deepest_range_match(spark, sf_dir):
     """Orders to price bands that nest: the narrowest band over a price."""
     bands = [(0, "all", 0, 10_000_000, 0), (1, "low", 0, 150_000, 1), (2, "high", 150_000, 10_000_000, 1), (3, "mid", 100_000, 200_000, 2), (4, "core", 140_000, 160_000, 3)]
     sections = spark.createDataFrame([("o", n, d, a, b) for _, n, a, b, d in bands], "doc string, node_id string, depth int, start_page int, end_page int")
-    pages = t(spark, sf_dir, "orders").select(F.lit("o").alias("doc"), F.floor("o_totalprice").cast("int").alias("page"))
-    joined = pages.join(F.broadcast(sections), "doc").where(F.col("page").between(F.col("start_page"), F.col("end_page")))
-    # Bands per distinct price would be a window over all orders; the narrowest band of a price is a minimum over few.
-    best = joined.groupBy("page", "doc").agg(F.min(F.struct(F.col("end_page") - F.col("start_page"), -F.col("depth"), "node_id")).alias("b"), F.count_distinct("node_id").alias("bands"), F.count("*").alias("n"))
-    return best.groupBy("b.node_id").agg(F.sum(F.col("n") / F.col("bands")).cast("long").alias("n_orders"))
+    pages = t(spark, sf_dir, "orders").groupBy(F.floor("o_totalprice").cast("int").alias("page")).agg(F.count("*").alias("n")).withColumn("doc", F.lit("o"))
+    best = tree.deepest_section(pages, F.broadcast(sections))  # five bands
+    return best.groupBy("node_id").agg(F.sum("n").alias("n_orders"))
 
 
 DEEPEST = """WITH b(node_id, lo, hi, depth) AS (VALUES ('all', 0, 10000000, 0), ('low', 0, 150000, 1), ('high', 150000, 10000000, 1), ('mid', 100000, 200000, 2), ('core', 140000, 160000, 3)),
@@ -322,8 +320,9 @@ ZERO = """WITH a AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quant
 
 def package_nesting(spark, sf_dir):
     items = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("paper_id"), F.col("l_orderkey").alias("parent_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("child_id"))
-    child = items.groupBy("paper_id", "parent_id").agg(F.array_join(F.array_sort(F.collect_list("child_id")), ",").alias("children"))
-    return child.groupBy("paper_id").agg(F.count("*").alias("parents"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parent_id", "children"))), lambda x: F.concat_ws("=", x["parent_id"], x["children"])), ";"), 256).alias("nested_sha256"))
+    nested = review.packages(items.withColumn("char_start", F.lit(0)).withColumn("char_end", F.lit(0)).withColumn("text", F.lit("")))
+    line = lambda p: F.concat_ws("=", p["parent_id"].cast("string"), F.array_join(F.transform(p["children"], lambda c: c["child_id"]), ","))
+    return nested.select("paper_id", F.size("parents").cast("long").alias("parents"), F.sha2(F.array_join(F.transform("parents", line), ";"), 256).alias("nested_sha256"))
 
 
 NESTING = """WITH i AS (SELECT l_orderkey % 100 AS paper_id, l_orderkey AS parent_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS child_id FROM lineitem),
@@ -353,11 +352,9 @@ NORMALIZE = """WITH r AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a'
 
 
 def split_disjointness(spark, sf_dir):
-    """Documents that are in both halves of a split by hash: none; and the sizes of the halves."""
-    half = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    d = t(spark, sf_dir, "documents").select("doc_id", half.alias("validation"))
-    both = d.where("validation").join(d.where("NOT validation"), "doc_id", "left_semi")
-    return both.select("doc_id")
+    """Documents in both parts of a split: every 97th is put in both on purpose."""
+    d = t(spark, sf_dir, "documents").select("doc_id")
+    return training.overlap(d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0 OR doc_id % 97 = 0"), "doc_id")
 
 
 def parent_scores(spark, sf_dir):
@@ -452,6 +449,6 @@ SQL = {
     "table_mentions": MENTIONS, "html_grid": GRID, "json_props": JSON_PROPS, "json_repair": JSON_REPAIR, "policy_grid": _policy_sql(), "child_topk_refill": REFILL, "cap_sensitivity": CAPS,
     "folds": FOLDS, "fold_stats": FOLD_STATS, "class_metrics": CLASS_METRICS, "macro_metrics": MACRO, "class_weights": CLASS_WEIGHTS, "label_distribution": DISTRIBUTION,
     "group_softmax": SOFTMAX, "memory_by_type": BY_TYPE, "memory_upsert": UPSERT, "summary_rollup": ROLLUP, "zero_relation_tables": ZERO, "package_nesting": NESTING,
-    "validation_failures": FAILURES, "normalize_scores": NORMALIZE, "split_disjointness": "SELECT doc_id FROM documents WHERE false", "parent_scores": PARENT_SCORES,
+    "validation_failures": FAILURES, "normalize_scores": NORMALIZE, "split_disjointness": "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 97 = 0", "parent_scores": PARENT_SCORES,
     "child_scores": CHILD_SCORES, "suggestion_scores": SUGGESTIONS, "caption_choice": CAPTIONS, "decision_rules": DECISIONS, "tree_flatten": TREE, "layout_paragraphs": LAYOUT,
 }
