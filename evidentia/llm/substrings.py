@@ -77,11 +77,9 @@ class Block:
         """
         for b in np.unique(bucket):
             own = kept[bucket == b]
-            rows = sx.contexts(self.data, self.starts[self.row[own]], self.ends[self.row[own]], self.at[own])
-            _, first, inverse = np.unique(sx.row_hashes(rows), return_index=True, return_inverse=True)
-            distinct = rows[first]
+            distinct, inverse = sx.distinct_contexts(self.data, self.starts[self.row[own]], self.ends[self.row[own]], self.at[own])
             flat = distinct.tobytes()
-            order = sorted(range(len(first)), key=lambda i: flat[i * sx.WIDTH : (i + 1) * sx.WIDTH])  # noqa: B023
+            order = sorted(range(len(distinct)), key=lambda i: flat[i * sx.WIDTH : (i + 1) * sx.WIDTH])  # noqa: B023
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             least = np.full(len(order), np.iinfo(np.int64).max)
@@ -101,7 +99,12 @@ def dedup_substrings(documents: DataFrame, with_kept: bool = True) -> DataFrame:
     body = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
     total = body.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    dealt = body.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
+    # Tasks follow the input: a task has at most about eight blocks, or one bucket.
+    usual = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df, key, most: df if most <= usual else df.repartition(most, key)
+    by_block = lambda df: spread(df, "block", -(-blocks // 8))
+    by_bucket = lambda df: spread(df, "bucket", buckets)
+    dealt = by_block(body.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long")))
 
     def send_grams(docs: pd.DataFrame) -> pd.DataFrame:
         block = Block(docs)
@@ -182,10 +185,10 @@ def dedup_substrings(documents: DataFrame, with_kept: bool = True) -> DataFrame:
         return pd.DataFrame(out, columns=columns)
 
     run_schema, answer_schema = "block long, bucket long, run binary", "block long, bucket long, kind int, answer binary"
-    gram_answers = dealt.groupBy("block").applyInPandas(send_grams, run_schema).groupBy("bucket").applyInPandas(answer_grams, answer_schema)
-    runs = dealt.groupBy("block").cogroup(gram_answers.groupBy("block")).applyInPandas(send_suffixes, run_schema)
-    span_answers = runs.groupBy("bucket").applyInPandas(answer_suffixes, answer_schema)
-    answers = gram_answers.unionByName(span_answers)
+    gram_answers = by_bucket(dealt.groupBy("block").applyInPandas(send_grams, run_schema)).groupBy("bucket").applyInPandas(answer_grams, answer_schema)
+    runs = dealt.groupBy("block").cogroup(by_block(gram_answers).groupBy("block")).applyInPandas(send_suffixes, run_schema)
+    span_answers = by_bucket(runs).groupBy("bucket").applyInPandas(answer_suffixes, answer_schema)
+    answers = by_block(gram_answers.unionByName(span_answers))
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return with_null_id(out)
 

@@ -90,6 +90,19 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def distinct_contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of anchors, and which of them each anchor has. Works in steps, so a run of one byte, where every position is an anchor, costs little more than its positions."""
+    hashes, rows, own = np.empty(len(at), np.uint64), [], []
+    for k in range(0, len(at), step):
+        part = contexts(data, starts[k : k + step], ends[k : k + step], at[k : k + step])
+        hashes[k : k + step] = h = row_hashes(part)
+        values, first = np.unique(h, return_index=True)
+        rows.append(part[first])
+        own.append(values)
+    values, first = np.unique(np.concatenate(own), return_index=True)
+    return np.concatenate(rows)[first], np.searchsorted(values, hashes)
+
+
 _squeeze = zstandard.ZstdCompressor(level=3)
 _open = zstandard.ZstdDecompressor()
 

@@ -164,6 +164,14 @@ def test_substrings(docs, rows, monkeypatch, block):
     assert got == brute_substrings(rows)
 
 
+def test_runs_of_one_byte(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 100_000)  # more blocks and buckets than shuffle partitions
+    rows = [(1, "-" * 300_000), (2, "x" + "-" * 400_000 + "y"), (3, " " * 49), (4, "-" * 50), (5, "ab" * 100_000), (6, "ba" * 90_000)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=False).collect()}
+    assert got == {1: (300_000, 0, 0), 2: (400_002, 400_000, 1), 3: (49, 0, 0), 4: (50, 50, 1), 5: (200_000, 0, 0), 6: (180_000, 180_000, 1)}
+
+
 def test_merge_knows_prefixes():
     r = random.Random(2)
     rows = [bytes(r.choices(b"ab", k=suffixes.WIDTH)) for _ in range(300)]
