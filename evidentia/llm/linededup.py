@@ -15,11 +15,9 @@ pair of at least ``SIMILARITY``:
 The kinds overlap so far that lines of similarity 0.8 always share one, and they go by distinct shingles, so
 neither length nor repetition tells like lines apart.
 
-Candidates are verified by exact Jaccard similarity over all shingles. Each line is first verified against one
-line, the least of its bands that it meets in most of them; then, where they are in different components, against
-the least line of each band; and last, in bands that still have several components, lines outside the commonest
-component against the lines of other components. So a band never emits all its pairs, and copies cost one verification
-each. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
+Candidates are verified by exact Jaccard similarity over all shingles: first each line against the least line of each
+of its bands; then, in bands that still have several components, lines outside the commonest component against the
+lines of other components. So a band never emits all its pairs. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
 
 A band that holds very many lines is dealt over ``SALTS`` tasks, each with a least line of its own, and these are
 linked to the band's least line in the same way.
@@ -184,12 +182,8 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     texts = lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").distinct()
     texts = cut(texts.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))))
     release(documents.sparkSession)
-    stars = cut(members.where("h <> first").groupBy("h", "first").agg(F.count("*").alias("k")))
-    one = stars.groupBy("h").agg(F.max_by("first", F.struct("k", "first")).alias("first"))
-    roots = joined_roots(None, verified(one.select(F.col("first").alias("a"), F.col("h").alias("b")), texts, similarity))
-    others = stars.join(by_key(one), ["h", "first"], "left_anti").select(F.col("first").alias("a"), F.col("h").alias("b"))
-    more = verified(rooted(others, roots).select("a", "b"), texts, similarity)
-    roots = joined_roots(roots, rooted(more, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    stars = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
+    roots = joined_roots(None, verified(stars, texts, similarity))
     placed = members.select("band", "h").join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
