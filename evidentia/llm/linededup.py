@@ -77,16 +77,45 @@ def shingle_hashes(line: Column) -> Column:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``whole`` and ``s``: distinct shingle hashes in order, all of them (``whole``) or those under the line's limit;
-    ``v``, the same among the marks of classes, and the places ``p`` of the marks there."""
+    """``lines`` with ``whole`` and ``s``: distinct shingle hashes in order, all of them (``whole``) or those under the line's limit,
+    and the columns of ``by_class``."""
     some = lines.withColumn("hashes", shingle_hashes(F.col("line")))
     limit = (F.lit(float(WANTED << (64 - CLASS_BITS))) / F.greatest(F.size("hashes"), F.lit(WANTED))).cast("long")
     low = let(limit, lambda most: F.filter("hashes", lambda x: x.bitwiseAND(F.lit(_LOW)) < most))
     some = some.withColumn("s", F.sort_array(F.array_distinct(F.when(F.size("hashes") <= WANTED, F.col("hashes")).otherwise(low))))
     some = some.withColumn("whole", (F.size("hashes") <= WANTED) | (F.size("s") < ENOUGH))
     every = F.when((F.size("hashes") > WANTED) & F.col("whole"), F.sort_array(F.array_distinct("hashes"))).otherwise(F.col("s"))
-    some = some.withColumn("s", every).withColumn("v", F.sort_array(F.concat("s", F.array(*map(F.lit, _MARKS)))))
-    return some.withColumn("p", F.array(*[F.array_position("v", F.lit(m)).cast("int") for m in _MARKS], F.size("v") + 1)).drop("hashes")
+    return by_class(some.withColumn("s", every)).drop("hashes")
+
+
+def by_class(hashed: DataFrame) -> DataFrame:
+    """``hashed`` with ``v``, the hashes ``s`` in order among the marks of classes, and the places ``p`` of the marks there."""
+    some = hashed.withColumn("v", F.sort_array(F.concat("s", F.array(*map(F.lit, _MARKS)))))
+    return some.withColumn("p", F.array(*[F.array_position("v", F.lit(m)).cast("int") for m in _MARKS], F.size("v") + 1))
+
+
+def sketch() -> Column:
+    """An odd sketch of a row of ``by_class``: a word a class, whose bits tell whether a hash has set them an odd number of times.
+
+    Two sketches differ in no more bits than their sets in elements, as common elements cancel out.
+    """
+
+    def word(k: int) -> Column:
+        own = F.slice("v", F.get("p", F.lit(k)) + 1, F.get("p", F.lit(k + 1)) - F.get("p", F.lit(k)) - 1)
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x))), F.lit(0).cast("long"))
+
+    return F.struct(*[word(k).alias(f"w{k}") for k in range(CLASSES)])
+
+
+def may_be_like(a: str, b: str, similarity: float) -> Column:
+    """Whether lines of ``n_a`` and ``n_b`` shingles with sketches ``sketch_a`` and ``sketch_b`` can be like; never false of like ones.
+
+    Sets of at least ``similarity`` differ in (1 - similarity) / (1 + similarity) of their sizes' sum at most.
+    """
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = sum((F.bit_count(F.col(f"sketch_{a}.w{k}").bitwiseXOR(F.col(f"sketch_{b}.w{k}"))) for k in range(1, CLASSES)), F.bit_count(F.col(f"sketch_{a}.w0").bitwiseXOR(F.col(f"sketch_{b}.w0"))))
+    return (F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b)) & (F.lit(1 + similarity) * differ <= F.lit(1 - similarity) * (n_a + n_b) + F.lit(1e-6))
 
 
 def _band(s: Column, places: list) -> Column:
@@ -102,18 +131,21 @@ def _exact_bands(s: Column) -> Column:
 
 
 def _class_bands() -> Column:
-    """The ROWS least hashes of each class; of ``whole`` lines also all of a class with fewer, from LEAST_IN_CLASS on."""
-    least = F.when(F.col("whole"), LEAST_IN_CLASS).otherwise(ROWS)
+    """The ROWS least hashes of each class, or null; of ``whole`` lines also all of a class with fewer, from LEAST_IN_CLASS on.
+
+    Spelled out class by class and under no function over arrays, so that it is generated code.
+    """
 
-    def band(v: Column, need: Column, k: Column) -> Column:  # ``p`` is named twice so that it stays a column of its own, in generated code
-        n = F.get("p", k + 1) - F.get("p", k) - 1
-        return let(n, lambda n: F.when(n >= need, F.xxhash64(F.slice(v, F.get("p", k) + 1, F.least(n, F.lit(ROWS))))))
+    def band(k: int) -> Column:
+        at = F.get("p", F.lit(k))
+        n = F.get("p", F.lit(k + 1)) - at - 1
+        return F.when(n >= F.when(F.col("whole"), LEAST_IN_CLASS).otherwise(ROWS), F.xxhash64(F.slice("v", at + 1, F.least(n, F.lit(ROWS)))))
 
-    return F.array_compact(let(F.col("v"), lambda v: let(least, lambda need: F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: band(v, need, k)))))
+    return F.array(*map(band, range(CLASSES)))
 
 
 def bands() -> Column:
-    """The bands of a line of ``signed``, as longs."""
+    """The bands of a line of ``signed``, as longs; nulls are none."""
     none = F.array().cast("array<bigint>")
     s, n, few = F.col("s"), F.size("s"), F.col("whole") & (F.size("s") < FEW[1])
     runs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - (ROWS - 1)), lambda i: F.xxhash64(F.slice(v, i, ROWS)))
@@ -122,9 +154,9 @@ def bands() -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least ``similarity``, over all shingles; the sizes of both sets are compared first."""
-    left, right = (texts.select(F.col("h").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    near = pairs.join(by_key(left), "a").join(by_key(right), "b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))
+    """The pairs (a, b) of at least ``similarity``, over all shingles; sizes and sketches of both sets are compared first."""
+    left, right = (texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "sketch")]) for k in "ab")
+    near = pairs.join(by_key(left), "a").join(by_key(right), "b").where(may_be_like("a", "b", similarity))
     both = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
     return near.withColumn("both", both).where(F.col("both") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
@@ -136,7 +168,7 @@ def hot_bands(entered: DataFrame) -> DataFrame:
 
 def band_members(signatures: DataFrame) -> DataFrame:
     """(band, h, first): the lines of every band that more than one line has, with the band's (or salt's) least line."""
-    entered = signatures.select("h", F.explode(F.array_distinct("bands")).alias("band"))
+    entered = signatures.select("h", F.explode("bands").alias("band")).where("band IS NOT NULL")
     hot = cut(hot_bands(entered))
     some_hot, salt = not hot.isEmpty(), F.lit(0)
     if some_hot:
@@ -175,23 +207,27 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     lines = lines_of(documents).withColumn("h", F.xxhash64("line"))
     # Grouped by the bands too, which follow from the line: so copies combine before the shuffle.
     signatures = signed(lines).select("h", bands().alias("bands")).distinct()
-    members = band_members(cut(signatures))
+    signatures = cut(signatures)
+    release(documents.sparkSession)  # the files of its shuffle go before the bands are dealt
+    members = band_members(signatures)
+    del signatures
     release(documents.sparkSession)
     needed = cut(members.select("h").distinct())
     few = needed.count() <= BROADCAST_ROWS
     texts = lines.select("h", "line").join(F.broadcast(needed) if few else needed, "h", "left_semi").distinct()
-    texts = cut(texts.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))))
+    hashed = by_class(texts.withColumn("s", F.sort_array(F.array_distinct(shingle_hashes(F.col("line"))))))
+    texts = cut(hashed.select("h", "line", F.size("s").alias("n"), sketch().alias("sketch")))
     release(documents.sparkSession)
     stars = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     roots = joined_roots(None, verified(stars, texts, similarity))
     placed = members.select("band", "h").join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
-    opened = cut(placed.join(by_key(main), "band"))
+    opened = cut(placed.join(by_key(main), "band").join(by_key(texts.select("h", "n", "sketch")), "h"))
     release(documents.sparkSession)
-    outside = opened.where("comp <> main").select("band", F.col("h").alias("x"), F.col("comp").alias("cx"))
-    inside = opened.select("band", F.col("h").alias("y"), F.col("comp").alias("cy"))
-    crossing = outside.join(by_key(inside), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda rows, k: rows.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "comp", "n", "sketch")])
+    pairs = side(opened.where("comp <> main"), "x").join(by_key(side(opened, "y")), "band").where((F.col("comp_x") != F.col("comp_y")) & may_be_like("x", "y", similarity))
+    crossing = pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
     last = verified(crossing, texts, similarity)
     return joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 

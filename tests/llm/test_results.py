@@ -125,6 +125,38 @@ def test_lines_of_one_repeated_unit_are_linked(spark):
     assert {(r["doc_id"], r["first_doc_id"], r["first_line_no"]) for r in got} == {(k, k, 0) for k in range(3)} and len(got) == 21
 
 
+def test_unlike_lines_of_one_band_are_told_by_sketches(spark, monkeypatch):
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    common = words(40)
+    lines = [f"{common} {words(14)}" for _ in range(120)]  # any two have a similarity of about 0.6
+    lines += [line[:-3] for line in lines[:30]]
+    sets = [{x[i : i + 7] for i in range(len(x) - 6)} for x in lines]
+    roots = joined_by(len(lines), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    compared, verified = [], linededup.verified
+
+    def counted(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(linededup, "verified", counted)
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["first_doc_id"] for r in got} == dict(enumerate(roots))
+    assert compared[1] < len(lines)
+
+
+def test_sketches_never_part_like_lines(spark):
+    r = random.Random(6)
+    rows = []
+    for n in (3, 30, 200, 1500, 5000):
+        for _ in range(20):
+            a = [r.getrandbits(64) - (1 << 63) for _ in range(n)]
+            rows.append((len(rows), sorted(a), sorted(a[r.randint(0, n // 5) :])))
+    pairs = spark.createDataFrame(rows, "k long, x array<bigint>, y array<bigint>")
+    x, y = (linededup.by_class(pairs.select("k", pairs[c].alias("s"))).selectExpr("k", f"size(s) AS n_{c}", "v", "p").withColumn(f"sketch_{c}", linededup.sketch()).drop("v", "p") for c in "xy")
+    assert x.join(y, "k").where(linededup.may_be_like("x", "y", 0.8)).count() == len(rows)
+
+
 def test_no_like_short_lines_are_missed(spark):
     r = random.Random(12)
     lines = {"hello world", "hello worl", "-" * 20, "-" * 45, "ab", "abc"}
