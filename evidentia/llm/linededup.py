@@ -17,7 +17,7 @@ neither length nor repetition tells like lines apart.
 
 Candidates are verified by exact Jaccard similarity over all shingles: first each line against the least line of each
 of its bands; then, in bands that still have several components, lines outside the commonest component against the
-lines of other components. So a band never emits all its pairs. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
+lines of other components, as far as sizes and sketches allow that they are like. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
 
 A band that holds very many lines is dealt over ``SALTS`` tasks, each with a least line of its own, and these are
 linked to the band's least line in the same way.
