@@ -32,9 +32,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that lost executors cost no recomputation."""
+    """Write ``df`` to the shared folder and go on from there, so that lost executors cost no recomputation.
+
+    A checkpoint keeps its plan's estimated size, and that of a join is the product of its sides: over rounds of joins the
+    digits of such numbers multiply, up to seconds and hundreds of MB of the driver for one plan. So the rows go on without it.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    jvm, session, plan = df.sparkSession._jvm, kept._jdf.sparkSession(), kept._jdf.queryExecution().analyzed()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:

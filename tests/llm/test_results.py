@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidentia.llm import chat, decontam, linededup, packing, quality, secrets, simhash, substrings, suffixes, toxicity
+from evidentia.llm import chat, decontam, linededup, packing, quality, secrets, shared, simhash, substrings, suffixes, toxicity
 from evidentia.llm.shared import components
 
 WS = r"[^\x20\x09-\x0D]+"
@@ -104,6 +104,14 @@ def test_components(spark):
         assert sorted(map(len, groups.values())) == [2, 30, 41] and all(k in g for k, g in groups.items())
 
 
+def test_estimated_sizes_do_not_grow_over_rounds(spark):
+    live = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    for _ in range(5):
+        live = shared.cut(live.join(live.selectExpr("a", "b AS c"), "a").selectExpr("a", "c AS b").distinct())
+    bits = live._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert bits <= 64 and sorted(map(tuple, live.collect())) == [(k, k + 1) for k in range(40)]
+
+
 def test_lines(docs, rows):
     lines = {(k, i): x.lower().strip(" \t\r\v\f") for k, t in rows for i, x in enumerate(t.split("\n")) if re.search(WS, x)}
     own = sorted(set(lines.values()))
