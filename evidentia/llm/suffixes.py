@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,7 +140,7 @@ class Run:
         self.n = int.from_bytes(blob[:8], "little")
         raw = _open.decompress(blob[8:])
         self.same, self.rest, self.at, self.index, self.row = raw[: self.n], raw[9 * self.n :], 0, -1, b""
-        self.docs = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * self.n, self.n).reshape(8, -1).T).view("<i8").ravel().tolist()
+        self.docs = array("q", np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * self.n, self.n).reshape(8, -1).T).tobytes())
 
     def advance(self) -> bool:
         i = self.index = self.index + 1
