@@ -17,7 +17,11 @@ neither length nor repetition tells like lines apart.
 
 Candidates are verified by exact Jaccard similarity over all shingles: first each line against the least line of each
 of its bands; then, in bands that still have several components, lines outside the commonest component against the
-lines of other components, as far as sizes and sketches allow that they are like. Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
+lines of other components, as far as sizes and sketches allow that they are like. Where these are many, as in large groups
+of near copies, each line is first compared with a few pivots of its band, and with more in every round: what they link
+need not be compared again, and the last round compares all that are still apart. So pivots only save, they drop no
+pair. The first pivot is the line that shares most with others, as a group's middle links more of it than its rim does.
+Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
 
 A band that holds very many lines is dealt over ``SALTS`` tasks, each with a least line of its own, and these are
 linked to the band's least line in the same way.
@@ -55,6 +59,9 @@ LEAST_IN_CLASS = 2
 BROADCAST_ROWS = 500_000
 #: Bands are counted over one line in SAMPLE (by hash); those met HOT times or more there are dealt over SALTS tasks.
 SAMPLE, HOT, SALTS = 64, 500, 64
+#: Rounds of pivots go on, each with MORE_PIVOTS times as many a band, while these make FAR_FEWER times less comparisons
+#: than all lines outside the commonest components.
+MORE_PIVOTS, FAR_FEWER = 8, 4
 
 #: Choices of ROWS places, those that need the fewest least hashes first.
 _CHOICES = sorted(combinations(range(ROWS + int((1 - SIMILARITY) * LEAST + 1e-9)), ROWS), key=lambda c: c[-1])
@@ -202,6 +209,37 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
 
 
+def opened_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``members`` (band, h, ...) of bands with several components, with their own (``comp``), the band's commonest
+    (``main``) and the number of lines of the band (``size``)."""
+    placed = members.join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("k"))
+    return placed.join(by_key(main.where("k > 1").drop("k")), "band")
+
+
+def worth_pivots(opened: DataFrame, pivots: int) -> bool:
+    """Whether so many pivots a band are far fewer comparisons than all lines outside ``main`` against their bands."""
+    by_band = opened.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("outside"))
+    told = by_band.agg(F.sum(F.col("n") * F.col("outside").cast("double")).alias("ahead"), F.sum("n").alias("rows")).first()
+    return (told["ahead"] or 0) > FAR_FEWER * pivots * (told["rows"] or 0)
+
+
+def crossing_pairs(opened: DataFrame, pivots: int | None, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines of one band and two components that may be like: each line against ``pivots`` lines of its
+    band (one: of all; more: outside ``main``, of as many components), or (None) against all lines outside ``main``."""
+    outside = opened.where("comp <> main")
+    if pivots is None:
+        chosen = outside
+    else:
+        dealt = opened.withColumn("k", F.lit(0)) if pivots == 1 else outside.withColumn("k", F.pmod(F.xxhash64("comp"), F.lit(pivots)))
+        heads = dealt.groupBy("band", "k").agg(F.max(F.struct("shared", "h")).alias("head")).select("band", "head.h")
+        chosen = by_key(opened).join(by_key(heads), ["band", "h"], "left_semi")
+    side = lambda rows, k: rows.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "comp", "n", "sketch")])
+    pairs = side(chosen, "x").join(by_key(side(opened, "y")), "band").where((F.col("comp_x") != F.col("comp_y")) & may_be_like("x", "y", similarity))
+    return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+
 def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for every line hash that has a link: the components of links of at least ``similarity``."""
     lines = lines_of(documents).withColumn("h", F.xxhash64("line"))
@@ -220,16 +258,19 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     release(documents.sparkSession)
     stars = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     roots = joined_roots(None, verified(stars, texts, similarity))
-    placed = members.select("band", "h").join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("comp"))
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
-    opened = cut(placed.join(by_key(main), "band").join(by_key(texts.select("h", "n", "sketch")), "h"))
+    opened = opened_bands(members.select("band", "h"), roots).withColumn("shared", F.sum("size").over(Window.partitionBy("h")))
+    opened = cut(opened.join(by_key(texts.select("h", "n", "sketch")), "h"))
     release(documents.sparkSession)
-    side = lambda rows, k: rows.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "comp", "n", "sketch")])
-    pairs = side(opened.where("comp <> main"), "x").join(by_key(side(opened, "y")), "band").where((F.col("comp_x") != F.col("comp_y")) & may_be_like("x", "y", similarity))
-    crossing = pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
-    last = verified(crossing, texts, similarity)
-    return joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    pivots = 1
+    while pivots is not None:
+        pivots = pivots if worth_pivots(opened, pivots) else None
+        crossing = crossing_pairs(opened, pivots, similarity)
+        last = verified(crossing, texts, similarity)
+        roots = joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        if pivots is not None:
+            opened = cut(opened_bands(opened.drop("comp", "main", "size"), roots))
+            pivots *= MORE_PIVOTS
+    return roots
 
 
 def dedup_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

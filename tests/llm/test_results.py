@@ -154,6 +154,30 @@ def test_unlike_lines_of_one_band_are_told_by_sketches(spark, monkeypatch):
     assert compared[1] < len(lines)
 
 
+def test_groups_of_near_copies_are_not_compared_by_pairs(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(60)]
+    lines = []
+    for _ in range(400):  # lines of the group's rim are like those of its middle, but few of each other
+        copy = list(base)
+        for k in r.sample(range(60), r.randint(1, 3)):
+            copy[k] = word()
+        lines.append(" ".join(copy))
+    sets = [{x[i : i + 7] for i in range(len(x) - 6)} for x in lines]
+    roots = joined_by(len(lines), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    compared, verified = [], linededup.verified
+
+    def counted(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(linededup, "verified", counted)
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["first_doc_id"] for r in got} == dict(enumerate(roots))
+    assert sum(compared[1:]) < 2 * len(lines)
+
+
 def test_sketches_never_part_like_lines(spark):
     r = random.Random(6)
     rows = []
