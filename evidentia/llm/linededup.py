@@ -18,9 +18,8 @@ neither length nor repetition tells like lines apart.
 Candidates are verified by exact Jaccard similarity over all shingles: first each line against the least line of each
 of its bands; then, in bands that still have several components, lines outside the commonest component against the
 lines of other components, as far as sizes and sketches allow that they are like. Where these are many, as in large groups
-of near copies, each line is first compared with a few pivots of its band, and with more in every round: what they link
-need not be compared again, and the last round compares all that are still apart. So pivots only save, they drop no
-pair. The first pivot is the line that shares most with others, as a group's middle links more of it than its rim does.
+of near copies, each line is first compared with few pivots of its band: what they link need not be compared again, and
+the last round compares all that are still apart. So pivots only save, they drop no pair. The first pivot is the line that shares most with others, as a group's middle links more of it than its rim does.
 Components follow by keyed contraction. Every component keeps its first line, by doc_id and line number.
 
 A band that holds very many lines is dealt over ``SALTS`` tasks, each with a least line of its own, and these are
@@ -33,14 +32,18 @@ those at the component's first place all stay. Lines of any length are read whol
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, by_key, components, cut, free_name, let, read, release
+from .shared import by_key, components, cut, free_name, let, read, release
 
+#: All blanks that a line can have: the split leaves no line feed.
+BLANKS = " \t\r\v\f"
 SHINGLE = 7
 SIMILARITY = 0.8
 ROWS = 4
@@ -59,9 +62,8 @@ LEAST_IN_CLASS = 2
 BROADCAST_ROWS = 500_000
 #: Bands are counted over one line in SAMPLE (by hash); those met HOT times or more there are dealt over SALTS tasks.
 SAMPLE, HOT, SALTS = 64, 500, 64
-#: Rounds of pivots go on, each with MORE_PIVOTS times as many a band, while these make FAR_FEWER times less comparisons
-#: than all lines outside the commonest components.
-MORE_PIVOTS, FAR_FEWER = 8, 4
+#: Bands with more than WIDE lines outside their commonest component have rounds of so many PIVOTS before the rest is compared.
+WIDE, PIVOTS = 8, (1, 8)
 
 #: Choices of ROWS places, those that need the fewest least hashes first.
 _CHOICES = sorted(combinations(range(ROWS + int((1 - SIMILARITY) * LEAST + 1e-9)), ROWS), key=lambda c: c[-1])
@@ -71,9 +73,16 @@ _MARKS = [(k << (64 - CLASS_BITS)) - (1 << 63) for k in range(CLASSES)]
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): lines with a word, in the form in which they are compared."""
+    """(doc_id, line_no, line): lines with a word, in the form in which they are compared.
+
+    Trimming by a set of characters walks the whole line, so only lines with a blank at an end go through it; all others
+    that are not empty have a word.
+    """
     own = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return own.where(F.col("raw").rlike(WORD_CLASS)).select("doc_id", "line_no", F.trim(F.lower("raw"), F.lit(" \t\r\v\f")).alias("line"))
+    raw = F.col("raw")
+    edged = reduce(or_, (test for c in BLANKS for test in (raw.startswith(c), raw.endswith(c))))
+    with_word = F.when(edged, F.trim(raw, F.lit(BLANKS)) != "").otherwise(raw != "")
+    return own.where(with_word).select("doc_id", "line_no", F.when(edged, F.trim(F.lower(raw), F.lit(BLANKS))).otherwise(F.lower(raw)).alias("line"))
 
 
 def shingle_hashes(line: Column) -> Column:
@@ -211,32 +220,27 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def opened_bands(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The ``members`` (band, h, ...) of bands with several components, with their own (``comp``), the band's commonest
-    (``main``) and the number of lines of the band (``size``)."""
+    (``main``), and the numbers of lines of the band (``size``) and of those in other components (``outside``)."""
     placed = members.join(by_key(roots.withColumnRenamed("node", "h")), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("k"))
-    return placed.join(by_key(main.where("k > 1").drop("k")), "band")
-
-
-def worth_pivots(opened: DataFrame, pivots: int) -> bool:
-    """Whether so many pivots a band are far fewer comparisons than all lines outside ``main`` against their bands."""
-    by_band = opened.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("outside"))
-    told = by_band.agg(F.sum(F.col("n") * F.col("outside").cast("double")).alias("ahead"), F.sum("n").alias("rows")).first()
-    return (told["ahead"] or 0) > FAR_FEWER * pivots * (told["rows"] or 0)
-
-
-def crossing_pairs(opened: DataFrame, pivots: int | None, similarity: float) -> DataFrame:
-    """The pairs (a, b) of lines of one band and two components that may be like: each line against ``pivots`` lines of its
-    band (one: of all; more: outside ``main``, of as many components), or (None) against all lines outside ``main``."""
-    outside = opened.where("comp <> main")
-    if pivots is None:
-        chosen = outside
-    else:
-        dealt = opened.withColumn("k", F.lit(0)) if pivots == 1 else outside.withColumn("k", F.pmod(F.xxhash64("comp"), F.lit(pivots)))
-        heads = dealt.groupBy("band", "k").agg(F.max(F.struct("shared", "h")).alias("head")).select("band", "head.h")
-        chosen = by_key(opened).join(by_key(heads), ["band", "h"], "left_semi")
-    side = lambda rows, k: rows.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "comp", "n", "sketch")])
-    pairs = side(chosen, "x").join(by_key(side(opened, "y")), "band").where((F.col("comp_x") != F.col("comp_y")) & may_be_like("x", "y", similarity))
+    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside"))
+    return placed.join(by_key(main.where("outside > 0")), "band")
+
+
+def pivots_of(opened: DataFrame, pivots: int) -> DataFrame:
+    """The lines (h, band, comp) of each band that share most with others: one of all, or ``pivots`` of other components than ``main``."""
+    dealt = opened.withColumn("k", F.lit(0)) if pivots == 1 else opened.where("comp <> main").withColumn("k", F.pmod(F.xxhash64("comp"), F.lit(pivots)))
+    return dealt.groupBy("band", "k").agg(F.max(F.struct("shared", "h", "comp")).alias("head")).select("head.h", "band", "head.comp")
+
+
+def crossing_pairs(some: DataFrame, opened: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of lines of ``some`` and ``opened`` (h, band, comp), of one band and two components, that may be like."""
+
+    def side(rows: DataFrame, k: str) -> DataFrame:
+        told = rows.select("h", "band", "comp").join(by_key(texts.select("h", "n", "sketch")), "h")
+        return told.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "comp", "n", "sketch")])
+
+    pairs = side(some, "x").join(by_key(side(opened, "y")), "band").where((F.col("comp_x") != F.col("comp_y")) & may_be_like("x", "y", similarity))
     return pairs.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
 
 
@@ -258,19 +262,17 @@ def line_components(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     release(documents.sparkSession)
     stars = members.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     roots = joined_roots(None, verified(stars, texts, similarity))
-    opened = opened_bands(members.select("band", "h"), roots).withColumn("shared", F.sum("size").over(Window.partitionBy("h")))
-    opened = cut(opened.join(by_key(texts.select("h", "n", "sketch")), "h"))
-    release(documents.sparkSession)
-    pivots = 1
-    while pivots is not None:
-        pivots = pivots if worth_pivots(opened, pivots) else None
-        crossing = crossing_pairs(opened, pivots, similarity)
-        last = verified(crossing, texts, similarity)
-        roots = joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        if pivots is not None:
-            opened = cut(opened_bands(opened.drop("comp", "main", "size"), roots))
-            pivots *= MORE_PIVOTS
-    return roots
+    opened = cut(opened_bands(members.select("band", "h"), roots).withColumn("shared", F.sum("size").over(Window.partitionBy("h"))))
+    for pivots in PIVOTS:
+        wide = opened.where(F.col("outside") > F.lit(WIDE))
+        if wide.isEmpty():
+            break
+        linked = verified(crossing_pairs(pivots_of(wide, pivots), wide, texts, similarity), texts, similarity)
+        roots = joined_roots(roots, rooted(linked, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        opened = cut(opened_bands(opened.select("band", "h", "shared"), roots))
+        release(documents.sparkSession)
+    last = verified(crossing_pairs(opened.where("comp <> main"), opened, texts, similarity), texts, similarity)
+    return joined_roots(roots, rooted(last, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

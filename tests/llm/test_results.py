@@ -127,6 +127,14 @@ def test_lines(docs, rows):
     assert texts == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in got or got[k, i][1]) for k, t in rows}
 
 
+def test_lines_with_odd_ends(spark):
+    blanks = " \t\r\v\f"
+    lines = ["", " ", "\r", "\v \f", "A", " A", "A\r", "\tA b\f ", "\x1cA\x1c", "\u00a0", "\u0130 \u2028", "a \v"]
+    got = linededup.lines_of(spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "\n\n")], "doc_id long, text string")).collect()
+    kept = {(1, i): line for i, x in enumerate(lines) if (line := x.lower().strip(blanks))}
+    assert {(r["doc_id"], r["line_no"]): r["line"] for r in got} == kept and len(got) == len(kept)
+
+
 def test_lines_of_one_repeated_unit_are_linked(spark):
     units = ["same words here ", "spam ", "the cat sat on the mat, "]
     rows = [(k, "\n".join(u * n for n in (5, 7, 8, 12, 20, 30, 60))) for k, u in enumerate(units)]
