@@ -54,7 +54,7 @@ def composite_key(*parts: str) -> Column:
 
 def unique_texts(values: Column) -> Column:
     """Trimmed texts without blanks and repetitions, in order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def filled(template: str, **values: Column) -> Column:

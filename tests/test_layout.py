@@ -63,3 +63,10 @@ def test_nodes_and_paths(spark):
     assert [r["p"] for r in paths] == [["a", "b"], ["a", "b"], [], ["x"]]
     heads = spark.createDataFrame([("1.2",), ("A",), ("Intro",), (None,)], "label string")
     assert [r["label"] for r in leaves.heading_entries(heads).collect()] == ["1.2", "A"]
+
+
+def test_lines_are_trimmed_of_blanks_alone(spark):
+    # F.transform gives the place of an element to a function of two arguments: trim took it for the characters to trim
+    df = spark.createDataFrame([("0 a\n1 b\n  c \nc\n4 d3\n \n\n66",), (" \n",), (None,)], "t string")
+    got = [r["u"] for r in df.select(normalize.unique_texts(F.split("t", "\n")).alias("u")).collect()]
+    assert got == [["0 a", "1 b", "c", "4 d3", "66"], [], None]
