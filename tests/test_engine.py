@@ -1,6 +1,7 @@
 """The evidence engine on small inputs with known results."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,27 @@ def test_policy(spark):
     assert tuple(policy.upsert(old, new).first()) == ("m", "2024", "2025", 2)
 
 
+def test_thresholds_are_counted_without_a_join(spark):
+    r = random.Random(5)
+    schema = "k int, doc string, table_label string, candidate_id string, gold_label int, signals struct<exact_table_reference:boolean,table_text_overlap:array<string>,annotation_rationale_overlap:array<string>,evidence_family:string,evidence_family_match:boolean,condition_match:boolean,result_match:boolean>"
+    some = lambda n: ["w"] * r.randint(0, n)
+    flag = lambda: r.choice([True, False, None])
+    rows = [
+        (k, r.choice("de"), r.choice(["1", "2", "3", None]), r.choice("abcd"), r.choice([0, 0, 1, None]), (r.choice([True, *[False] * 15, None]), some(7), some(6), r.choice(["result", "method"]), flag(), flag(), flag()))
+        for k in range(120)
+    ]
+    df = spark.createDataFrame(rows, schema).cache()
+    got = policy.optimize(df, scoring.DEFAULT_WEIGHTS, policy.Guardrails(1, 0.0, 0.0), "k")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    scored = policy.proposals(df, scoring.DEFAULT_WEIGHTS)
+    cuts = scored.select("weight_set", F.explode(F.array("score", F.lit(0.0))).alias("threshold")).distinct()
+    tried = scored.join(cuts, "weight_set").withColumn("selected", F.col("signals.exact_table_reference") | (F.col("score") >= F.col("threshold")))
+    want = policy.measured(policy.with_forced(tried, ["weight_set", "threshold"], ["doc", "table_label", "candidate_id"], [F.col("k")]), ["weight_set", "threshold"])
+    place = lambda x: (-x["precision"], x["selected"], -x["recall"], x["weight_set"], x["threshold"])
+    assert [r.asDict() for r in got.collect()] == sorted((r.asDict() for r in want.collect()), key=place)
+
+
 def test_review(spark):
     assert review.without_history(spark.createDataFrame([(1, 2, 3)], "child_id int, gold_label int, human_note int")).columns == ["child_id"]
     tables = spark.createDataFrame([("p", "T1"), ("p", "T3")], "paper_id string, table_id string")
