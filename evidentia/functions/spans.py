@@ -1,12 +1,13 @@
-"""Spans of sentences with exact offsets: a native splitter, and an abbreviation-aware one as a pandas UDF."""
+"""Spans of sentences with exact offsets: a native splitter, and an abbreviation-aware one as an Arrow UDF."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from itertools import pairwise
+from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,23 +126,65 @@ def spans_v2(text: str | None, target: int = 700) -> list[tuple[int, int]]:
     return out
 
 
-SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_FIELDS = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+SPAN_TYPE = T.ArrayType(T.StructType(_FIELDS))
+TEXT_SPAN_TYPE = T.ArrayType(T.StructType([*_FIELDS, T.StructField("text", T.StringType())]))
+# Fixed value: characters of texts whose spans are held in Python at once; a longer text is held alone.
+MOST_CHARS = 1 << 18
 
 
-def _udf(split):
-    @F.pandas_udf(SPAN_TYPE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in split(t or "")])
+def _pieces(*columns: pa.Array) -> Iterator[list[tuple]]:
+    """Rows of the columns, the first of them texts, in lists of about MOST_CHARS characters."""
+    rows, size = [], 0
+    for row in zip(*columns, strict=True):
+        rows.append(tuple(x.as_py() for x in row))
+        size += len(rows[-1][0] or "") + 1
+        if size >= MOST_CHARS:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _listed(values: list[list], array: Callable[[list], pa.Array]) -> pa.Array:
+    """A list array of ``values``, whose elements ``array`` makes one after the other."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), array([x for own in values for x in own]))
+
+
+def _udf(split, with_text: bool = False):
+    """Spans of texts as Arrow arrays. Batches go out in pieces, so that the memory held does not follow the batch's size."""
+
+    def array(flat: list[tuple]) -> pa.Array:
+        columns = [pa.array([x[k] for x in flat], kind) for k, kind in enumerate([pa.int32(), pa.int32(), pa.string()][: 2 + with_text])]
+        return pa.StructArray.from_arrays(columns, names=["start", "end", "text"][: 2 + with_text])
+
+    @F.arrow_udf(TEXT_SPAN_TYPE if with_text else SPAN_TYPE)
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for rows in _pieces(texts):
+                yield _listed([[(a, b, t[a:b]) if with_text else (a, b) for a, b in split(t)] for t in (t or "" for (t,) in rows)], array)
 
     return spans
 
 
-spans_v1_udf, spans_v2_udf = _udf(long_spans_v1), _udf(spans_v2)
+spans_v1_udf, spans_v2_udf, text_spans_v2_udf = _udf(long_spans_v1), _udf(spans_v2), _udf(spans_v2, with_text=True)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def slices_udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The slices of each text from ``starts`` to ``ends``, two arrays of as many offsets; null where an offset or the text is."""
+    for columns in batches:
+        for rows in _pieces(*columns):
+            yield _listed([[None if None in (t, a, b) else t[max(a, 0) : max(b, 0)] for a, b in zip(starts or [], ends or [], strict=True)] for t, starts, ends in rows], lambda flat: pa.array(flat, pa.string()))
 
 
 def children(parents: DataFrame, spans: Column | None = None) -> DataFrame:
-    """Child rows of ``parents(parent_id, full_text)``: ids, offsets, text and hash. The text is the slice at its offsets."""
-    own = parents.select("parent_id", "full_text", F.posexplode(spans if spans is not None else spans_v2_udf("full_text")).alias("k", "s"))
-    text = F.substr(F.col("full_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    """Child rows of ``parents(parent_id, full_text)``: ids, offsets, text and hash. The text is the slice at its offsets.
+
+    It is cut where the spans are found; ``spans`` without texts are cut here, which reads a text once for each of its spans.
+    """
+    found = text_spans_v2_udf("full_text") if spans is None else spans
+    own = parents.select("parent_id", "full_text", F.posexplode(found).alias("k", "s"))
+    text = F.col("s.text") if spans is None else F.substr(F.col("full_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     child = F.format_string("%s-child-%04d", F.col("parent_id"), F.col("k") + 1)
     return own.select("parent_id", child.alias("child_id"), F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), text.alias("text")).withColumn("text_sha256", F.sha2("text", 256))

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,20 @@ def test_children(spark):
     assert all(body[r["char_start"] : r["char_end"]] == r["text"] for r in rows)
 
 
+def test_spans_are_found_in_pieces(spark, monkeypatch):
+    # the spans of a whole batch were held as Python objects at once; text of a few characters goes out before the next is split
+    monkeypatch.setattr(spans, "MOST_CHARS", 7)
+    texts = ["One é𝄞 two. Three!", None, "", "x. Y", "Last one. End"]
+    pieces = list(spans._pieces(pa.array(texts)))
+    assert [len(p) for p in pieces] == [1, 3, 1] and [t for p in pieces for (t,) in p] == texts
+    found = list(spans.text_spans_v2_udf.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [len(x) for x in found] == [1, 3, 1]
+    assert [x and [s["text"] for s in x] for a in found for x in a.to_pylist()] == [["One é𝄞 two.", "Three!"], [], [], ["x. Y"], ["Last one.", "End"]]
+    parents = spark.createDataFrame(list(enumerate(texts)), "parent_id int, full_text string")
+    whole, cut_here = spans.children(parents), spans.children(parents, spans.spans_v2_udf("full_text"))
+    assert sorted(whole.collect()) == sorted(cut_here.collect()) and whole.count() == 5
+
+
 def test_mentions():
     labels = {"t1": "Table 1", "t2": "Table 2", "t3": "Table 3", "ts1": "Table S1"}
     found = mentions.find_mentions("See Tables 1–3 and Tbl. S1.", labels)
