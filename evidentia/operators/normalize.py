@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions import spans
+
 # Keys under which sources name the same thing, first choice first.
 PAPER_ID = ("paper_id", "slug", "document_id")
 TABLE_ID = ("table_id", "id", "table_label")
@@ -38,13 +40,27 @@ def tables(raw: DataFrame) -> DataFrame:
     return named
 
 
+def _offset_problem(size: Column, slice_: Column, start: Column, end: Column, text: Column) -> Column:
+    """Null if ``text`` is the slice of a text of ``size`` characters between its offsets."""
+    return F.when((start < 0) | (end <= start) | (end > size), "offset_out_of_range").when(~slice_.eqNullSafe(text), "text_is_not_slice")
+
+
 def texts_with_offsets(raw: DataFrame) -> DataFrame:
     """``raw(parent_text, char_start, char_end, text)`` with ``problem``: offsets out of order or range, or a text that is not the slice."""
     c = F.col
-    size = F.length("parent_text")
     slice_ = F.substr(c("parent_text"), c("char_start") + 1, c("char_end") - c("char_start"))
-    bad = F.when((c("char_start") < 0) | (c("char_end") <= c("char_start")) | (c("char_end") > size), "offset_out_of_range").when(~slice_.eqNullSafe(c("text")), "text_is_not_slice")
-    return raw.withColumn("problem", bad)
+    return raw.withColumn("problem", _offset_problem(F.length("parent_text"), slice_, c("char_start"), c("char_end"), c("text")))
+
+
+def parents_with_offsets(parents: DataFrame) -> DataFrame:
+    """``parents(parent_text, children array<struct<char_start, char_end, text>>)`` with ``problems``, one for each child as in ``texts_with_offsets``.
+
+    A parent's text is read once for all its children, not once for each.
+    """
+    cut = parents.withColumn("_slices", spans.slices_udf("parent_text", F.col("children.char_start"), F.col("children.char_end")))
+    problems = lambda size: F.zip_with("children", "_slices", lambda x, own: _offset_problem(size, own, x["char_start"], x["char_end"], x["text"]))
+    once = F.transform(F.array(F.length("parent_text")), lambda size: problems(size))  # else the optimizer puts the measuring into the inner loop
+    return cut.withColumn("problems", F.element_at(once, 1)).drop("_slices")
 
 
 def composite_key(*parts: str) -> Column:

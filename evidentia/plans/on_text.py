@@ -43,10 +43,11 @@ SPAN_STATS = f"WITH {_SPANS} SELECT lang, count(*) AS n_spans, CAST(sum(length(s
 
 def span_offset_audit(spark, sf_dir):
     """Documents with a span whose text is not the slice at its offsets: those of every 50th, whose offsets are moved on purpose."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("parent_id"), F.col("text").alias("full_text"))
-    own = spans.children(docs).join(docs.select("doc_id", "parent_id", F.col("full_text").alias("parent_text")), "parent_id")
-    moved = own.withColumn("char_start", F.col("char_start") + F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0))
-    return normalize.texts_with_offsets(moved).where("problem IS NOT NULL").select("doc_id").distinct()
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("parent_text"), spans.text_spans_v2_udf("text").alias("own"))
+    by = F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0)
+    moved = F.transform("own", lambda x: F.struct((x["start"] + by).alias("char_start"), x["end"].alias("char_end"), x["text"].alias("text")))
+    checked = normalize.parents_with_offsets(docs.select("doc_id", "parent_text", moved.alias("children")))
+    return checked.where(F.exists("problems", lambda x: x.isNotNull())).select("doc_id").distinct()
 
 
 def spans_scope(spark, sf_dir):

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import geometry, htmltable, jsonfix, mentions, scoring, spans, text
-from evidentia.operators import coverage, datasets, inventory, matching, pairwise, policy, review, tree
+from evidentia.operators import coverage, datasets, inventory, matching, normalize, pairwise, policy, review, tree
+from evidentia.plans import on_text
 from evidentia.sources import io
 from evidentia.streaming import decisions as stream
 
@@ -51,6 +52,25 @@ def test_spans_are_found_in_pieces(spark, monkeypatch):
     assert sorted(whole.collect()) == sorted(cut_here.collect()) and whole.count() == 5
 
 
+def test_offsets_of_all_children_of_a_parent(spark):
+    offsets = [(0, 2, "é𝄞"), (2, 4, "bc"), (1, 3, "bc"), (-1, 2, "é𝄞"), (2, 2, ""), (2, 9, "bc"), (None, 2, "é𝄞"), (0, None, None), (0, 1, None)]
+    schema = "k int, parent_text string, children array<struct<char_start:int,char_end:int,text:string>>"
+    rows = spark.createDataFrame([(0, "é𝄞bc", offsets), (1, None, offsets), (2, "", []), (3, "x", None)], schema)
+    got = {r["k"]: r["problems"] for r in normalize.parents_with_offsets(rows).collect()}
+    one_by_one = normalize.texts_with_offsets(rows.select("k", "parent_text", F.posexplode("children").alias("pos", "x")).select("k", "pos", "parent_text", "x.*"))
+    assert got[0][:6] == [None, None, "text_is_not_slice", "offset_out_of_range", "offset_out_of_range", "offset_out_of_range"]
+    assert {(k, p): x for k in (0, 1) for p, x in enumerate(got[k])} == {(r["k"], r["pos"]): r["problem"] for r in one_by_one.collect()}
+    assert got[2] == [] and got[3] is None
+
+
+def test_offset_audit_reads_a_text_once(spark, tmp_path):
+    docs = [(50, "A b. C d."), (51, "A b. C d."), (51, "other, longer text. With more."), (100, " "), (150, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = on_text.span_offset_audit(spark, str(tmp_path))
+    assert [r["doc_id"] for r in got.collect()] == [50]  # texts that share an id are not checked against each other's spans
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mentions():
     labels = {"t1": "Table 1", "t2": "Table 2", "t3": "Table 3", "ts1": "Table S1"}
     found = mentions.find_mentions("See Tables 1–3 and Tbl. S1.", labels)
