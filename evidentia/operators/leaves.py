@@ -15,23 +15,19 @@ def draft_ranges(entries: DataFrame) -> DataFrame:
     """``entries(doc, idx, depth, start_page, page_count)`` with end_page: the start of the next entry of no greater depth.
 
     Per document, a later entry closes all open entries of its depth or deeper. The first such entry is the least
-    index among those of each depth up to its own, so the join is on (doc, depth) with depths few, not on all pairs.
+    index among those of each depth up to its own, with depths few: so windows by (doc, depth) find it, without pairs of
+    entries. Rows that lie by ``doc`` are not moved again.
     """
-    depths = entries.select("doc", F.col("depth").alias("d2")).distinct()
-    asked = entries.join(depths, "doc").where("d2 <= depth").select("doc", "idx", "d2", F.lit(None).cast("struct<i:bigint,p:bigint>").alias("own"))
-    there = entries.select("doc", "idx", F.col("depth").alias("d2"), F.struct(F.col("idx").cast("long").alias("i"), F.col("start_page").cast("long").alias("p")).alias("own"))
-    after = Window.partitionBy("doc", "d2").orderBy("idx").rangeBetween(1, Window.unboundedFollowing)
-    found = asked.unionByName(there).withColumn("next", F.first("own", ignorenulls=True).over(after)).where("own IS NULL")
-    closing = found.groupBy("doc", "idx").agg(F.min("next").alias("next"))
-    end = F.greatest(F.col("start_page").cast("long"), F.coalesce("next.p", F.col("page_count").cast("long")))
-    return entries.join(closing, ["doc", "idx"], "left").withColumn("end_page", end).drop("next")
-
-
-def best_sections(leaves: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc, content_index, node_id): the deepest section over each leaf's page, then the narrowest, then the last."""
-    over = leaves.select("doc", "content_index", "page").join(sections, "doc").where(F.col("page").between(F.col("start_page"), F.col("end_page")))
-    best = F.max_by("node_id", F.struct("depth", F.col("start_page") - F.col("end_page"), "node_id"))
-    return over.groupBy("doc", "content_index").agg(best.alias("node_id"))
+    c = F.col
+    there = F.struct(c("idx").cast("long").alias("i"), c("start_page").cast("long").alias("p"))
+    asked = F.transform(F.filter("_depths", lambda d: d <= c("depth")), lambda d: F.struct(d.alias("d2"), F.lit(None).cast("struct<i:bigint,p:bigint>").alias("own")))
+    known = entries.withColumn("_depths", F.collect_set("depth").over(Window.partitionBy("doc")))
+    rows = known.select(*entries.columns, F.explode(F.concat(F.array(F.struct(c("depth").alias("d2"), there.alias("own"))), asked)).alias("_x"))
+    later = Window.partitionBy("doc", "_x.d2").orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_next", F.when(c("_x.own").isNull(), F.min("_x.own").over(later)))
+    closed = found.withColumn("_next", F.min("_next").over(Window.partitionBy("doc", "idx"))).where("_x.own IS NOT NULL")
+    end = F.greatest(c("start_page").cast("long"), F.coalesce("_next.p", c("page_count").cast("long")))
+    return closed.select("doc", "idx", *[x for x in entries.columns if x not in ("doc", "idx")], end.alias("end_page"))
 
 
 def attach(leaves: DataFrame, sections: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -40,18 +36,23 @@ def attach(leaves: DataFrame, sections: DataFrame, overrides: DataFrame | None =
     A table goes where ``overrides(doc, label, node_id)`` says if that section exists, else to the deepest section over
     its page, else to the document's last section. Other leaves need a section over their page, which must not be
     outline-only. sections(doc, node_id, depth, start_page, end_page, outline_only). Leaves without a place are left out.
+
+    A document's sections and overrides come to its leaves as arrays, by joins on ``doc`` alone: rows that lie by it are not moved.
     """
     c = F.col
-    last = sections.groupBy("doc").agg(F.max("node_id").alias("last_id"))
-    placed = leaves.join(best_sections(leaves, sections).withColumnRenamed("node_id", "page_id"), ["doc", "content_index"], "left").join(last, "doc", "left")
+    place = F.struct("depth", (c("start_page") - c("end_page")).alias("narrow"), "node_id", "start_page", "end_page")
+    by_doc = sections.groupBy("doc").agg(F.collect_list(place).alias("_sections"), F.max("node_id").alias("last_id"), F.collect_set(F.when(c("outline_only"), c("node_id"))).alias("_outlined"))
+    placed = leaves.join(by_doc, "doc", "left")
+    over = F.filter("_sections", lambda s: c("page").between(s["start_page"], s["end_page"]))
+    placed = placed.withColumn("page_id", F.array_max(over)["node_id"])  # the deepest, then the narrowest, then the last
     if overrides is None:
         placed = placed.withColumn("asked_id", F.lit(None).cast("string")).withColumn("own_id", F.lit(None).cast(sections.schema["node_id"].dataType))
     else:
-        asked = overrides.groupBy("doc", "label").agg(F.min("node_id").alias("asked_id"))
-        known = sections.select("doc", c("node_id").alias("asked_id"), c("node_id").alias("own_id")).distinct()
-        placed = placed.join(asked, ["doc", "label"], "left").join(known, ["doc", "asked_id"], "left")
-    outline = sections.where("outline_only").select("doc", c("node_id").alias("page_id"), F.lit(True).alias("outline")).distinct()
-    placed = placed.join(outline, ["doc", "page_id"], "left")
+        asked = overrides.groupBy("doc").agg(F.collect_list(F.struct("label", "node_id")).alias("_asked"))
+        named = F.filter("_asked", lambda x: x["label"] == c("label"))
+        placed = placed.join(asked, "doc", "left").withColumn("asked_id", F.array_min(F.transform(named, lambda x: x["node_id"])))
+        placed = placed.withColumn("own_id", F.when(F.array_contains(c("_sections.node_id"), c("asked_id")), c("asked_id"))).drop("_asked")
+    placed = placed.withColumn("outline", F.when(F.array_contains("_outlined", c("page_id")), True)).drop("_sections", "_outlined")
     table = c("kind") == "table"
     reason = (
         F.when(~table, "page_range_deepest_match")

@@ -18,8 +18,8 @@ def _lines(spark, sf_dir):
 
 
 def _unique_lines(spark, sf_dir):
-    """One line of each number in an order: that of the least part."""
-    return _lines(spark, sf_dir).groupBy("doc", "idx").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_extendedprice")).alias("x")).select("doc", "idx", "x.*")
+    """One line of each number in an order: that of the least part. The lines of an order lie together for what follows."""
+    return _lines(spark, sf_dir).repartition("doc").groupBy("doc", "idx").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_extendedprice")).alias("x")).select("doc", "idx", "x.*")
 
 
 _LINES = """u AS (SELECT doc, idx, x.l_partkey AS l_partkey, x.l_suppkey AS l_suppkey, x.l_quantity AS l_quantity, x.l_tax AS l_tax, x.l_extendedprice AS l_extendedprice FROM (

@@ -1,6 +1,7 @@
 """Layout and candidate queries against their SQL on the smallest tables, and cases that the tables do not hold."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -70,3 +71,34 @@ def test_lines_are_trimmed_of_blanks_alone(spark):
     df = spark.createDataFrame([("0 a\n1 b\n  c \nc\n4 d3\n \n\n66",), (" \n",), (None,)], "t string")
     got = [r["u"] for r in df.select(normalize.unique_texts(F.split("t", "\n")).alias("u")).collect()]
     assert got == [["0 a", "1 b", "c", "4 d3", "66"], [], None]
+
+
+def test_leaves_go_to_their_sections(spark):
+    sections = spark.createDataFrame([("d", 1, 1, 1, 9, False), ("d", 2, 2, 2, 5, True), ("d", 3, 2, 4, 6, False), ("d", 4, 2, 4, 6, False), ("e", 7, 1, 3, 3, False)], "doc string, node_id long, depth long, start_page long, end_page long, outline_only boolean")
+    rows = [("d", 0, 2, "text", "a"), ("d", 1, 2, "table", "b"), ("d", 2, 5, "text", None), ("d", 3, 20, "text", "a"), ("d", 4, 20, "table", "a"), ("d", 5, 9, "table", "c"), ("e", 0, 1, "table", None), ("f", 0, 1, "table", "a"), ("d", 6, None, "table", "z")]
+    own = spark.createDataFrame(rows, "doc string, content_index long, page long, kind string, label string")
+    asked = spark.createDataFrame([("d", "a", 3), ("d", "a", 2), ("d", "c", 99), ("d", None, 1), ("g", "a", 1)], "doc string, label string, node_id long")
+    got = {(r["doc"], r["content_index"]): (r["parent_node_id"], r["assignment_reason"]) for r in leaves.attach(own, sections, asked).collect()}
+    assert got == {
+        ("d", 1): (2, "page_range_deepest_match"), ("d", 2): (4, "page_range_deepest_match"), ("d", 4): (2, "manifest_override"), ("d", 5): (1, "page_range_deepest_match_after_missing_override"),
+        ("e", 0): (7, "fallback_last_node"), ("d", 6): (4, "fallback_last_node"),
+    }
+    plain = {(r["doc"], r["content_index"]): r["parent_node_id"] for r in leaves.attach(own, sections).collect()}
+    assert plain == {("d", 1): 2, ("d", 2): 4, ("d", 4): 4, ("d", 5): 1, ("e", 0): 7, ("d", 6): 4}
+
+
+def test_ranges_end_at_the_next_entry_of_no_greater_depth(spark):
+    r = random.Random(3)
+    entries = [(d, i, r.choice([0, 1, 1, 2, 5]), i + r.randint(0, 1), 40) for d in "ab" for i in r.sample(range(40), 25)]
+    got = leaves.draft_ranges(spark.createDataFrame(entries, "doc string, idx int, depth int, start_page int, page_count int"))
+    ends = {(x["doc"], x["idx"]): x["end_page"] for x in got.collect()}
+    for d, i, depth, start, pages in entries:
+        after = min(((j, p) for e, j, k, p, _ in entries if e == d and j > i and k <= depth), default=(0, pages))
+        assert ends[d, i] == max(start, after[1])
+    assert got.columns == ["doc", "idx", "depth", "start_page", "page_count", "end_page"] and len(ends) == len(entries)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+def test_lines_are_moved_once_for_each_part(spark):
+    plan = on_layout.attach_leaves(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # sections, leaves, overrides
